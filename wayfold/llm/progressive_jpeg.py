@@ -342,7 +342,7 @@ def decode_column(media: DataFrame, column: str = "media") -> DataFrame:
             size = [pa.array([None if g is None else g.shape[i] for g in got], pa.int32()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*b.columns, *size, pa.array([None if g is None else g.tobytes() for g in got], pa.binary())], names)
 
-    return media.mapInArrow(rows, media.schema.add("height", "int").add("width", "int").add("rgb", "binary"))
+    return media.mapInArrow(rows, media.schema.add("height", "integer").add("width", "integer").add("rgb", "binary"))
 
 
 # -- the payload store -------------------------------------------------------------------------------------------

@@ -86,5 +86,19 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_MIX = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+ w AS (SELECT *, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w, CAST(source_size * 2 AS DOUBLE) AS room FROM s),
+ r AS (SELECT *, row_number() OVER (ORDER BY room / w, source NULLS LAST) AS k FROM w),
+ l AS (SELECT *, (CAST((SELECT sum(source_size) FROM s) AS DOUBLE) * 1.5 - coalesce(sum(room) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / ((SELECT sum(w) FROM w) - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM r),
+ o AS (SELECT min_by(level, k) AS open FROM l WHERE room > level * w),
+ t AS (SELECT source, source_size, least(room, coalesce(open * w, room)) AS target FROM l, o),
+ b AS (SELECT *, CAST(round(target) AS BIGINT) AS budget FROM t),
+ e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM b),
+ x AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, e.budget - e.epochs * e.source_size AS cut, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, cut - start)) AS BIGINT) AS taken FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Checks for DuckDB; the other operators have no SQL form and are held against brute force in the tests."""
+    return {"op8_mixing": _MIX}
