@@ -11,12 +11,15 @@ as their subsets are expensive (many sets share them). A cold segment counts 1 (
 of two shingles or more counts 2: its subset and the subset's one-deletion neighbourhood are indexed, so that one
 difference in it is survived and fewer hot segments are needed. The sample only sets the order, never the result.
 
-Segments by size band: below 128 shingles each shingle is a segment; bands grow fourfold, with half as many cold
-segments as the band's largest set has shingles. (A set with so uneven a hash that its non-empty segments don't reach
+Segments by size band: below 512 shingles each shingle is a segment. There only a set's own shingles can differ in its
+segments: n - o of them, where o is the least intersection, so the larger set of a pair indexes n / 4 segments and the
+smaller one need only share one of its first n / 7 (rows say so: a bucket without such a row holds no pair). Bands
+above grow fourfold, with half as many cold segments as the band's largest set has shingles. (A set with so uneven a hash that its non-empty segments don't reach
 H + 1 would miss its guarantee; for the smallest such band that is beyond seven standard deviations, and the hot
 segments still count double.) A set also indexes itself in the band below if a partner may lie there.
 
-Candidates are verified exactly, on texts read again. Sets of one bucket are first held against the bucket's smallest
+Candidates whose sizes, or whose counts of shingles by hash slot, already exclude the similarity are left out; that bound
+on the intersection is exact too. The rest are verified exactly, on texts read again. Sets of one bucket are first held against the bucket's smallest
 id, linear in the bucket; only what this leaves in different components is then compared pair by pair.
 """
 
@@ -25,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +39,15 @@ from .scratch import Scratch
 
 #: Documents whose shingles are counted to find hot ones (bound on the sample), and entries of the table of hot hashes.
 SAMPLE, HOT_BITS, HOT_LIMIT = 4096, 22, 65_536
-#: Buckets of up to this many sets are compared pair by pair at once.
-SMALL = 3
+#: Slots of the table of counts by which a candidate's intersection is bounded.
+SLOTS = 256
+#: Buckets of up to this many sets are compared pair by pair at once; of up to so many by a join once leads have been
+#: compared; larger ones block against block, in blocks of so many sets.
+SMALL, JOINED, BLOCK = 3, 64, 512
 
 
 def _edges() -> list[int]:
-    return [1, *(128 * 4**i for i in range(16))]
+    return [1, *(512 * 4**i for i in range(15))]
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,10 +56,12 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i, j in B.chunks(at):
             x, of, n = B.shingles(*B.words(data[at[i] : at[j]], at[i : j + 1] - at[i]))
-            out.append((n, B.sums(x, n), B.sums(B.mix(x + np.uint64(77)), n)))
+            slots = np.minimum(np.bincount(of * SLOTS + (x % np.uint64(SLOTS)).astype(np.int64), minlength=(j - i) * SLOTS), 255)
+            out.append((n, B.sums(x, n), B.sums(B.mix(x + np.uint64(77)), n), slots.astype(np.uint8).reshape(-1, SLOTS)))
         if out:
-            n, p, q = (np.concatenate(v) for v in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(p.view(np.int64)), pa.array(q.view(np.int64))], ["doc_id", "n_shingles", "p", "q"])
+            n, p, q, slots = (np.concatenate(v) for v in zip(*out, strict=True))
+            slots = pa.array([v.tobytes() for v in slots], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(p.view(np.int64)), pa.array(q.view(np.int64)), slots], ["doc_id", "n_shingles", "p", "q", "slots"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,18 +72,23 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], ["h"])
 
 
-def signatures(x: np.ndarray, of: np.ndarray, n: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set number) rows of the sets given as (hash, set number) sorted by both, with sizes n."""
+def signatures(x: np.ndarray, of: np.ndarray, n: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set number, whether it may be the smaller set's) rows of the sets given as (hash, set number) sorted by both, with sizes n."""
     edges = np.array(_edges())
     band = np.searchsorted(edges, np.maximum(n, 1), "right") - 1
     most = (100 - percent) * (n + 100 * n // percent) // (100 + percent)
     low = edges[band] - 1
     down = (band > 0) & (percent * n <= 100 * low)
     less = (100 - percent) * (n + low) // (100 + percent)
+    # single shingles: what can differ of a set as the larger one, whose partner has n * percent / 100 at least, and as the smaller one
+    overlap = lambda r: -(-percent * (n + r) // (100 + percent))
+    larger, smaller = n - overlap(-(-percent * n // 100)), n - overlap(n)
     heat = hot[(x >> np.uint64(64 - HOT_BITS)).astype(np.int64)]
-    sigs, sets = [], []
+    sigs, sets, small = [], [], []
     for key in np.unique(np.concatenate([band, band[down] - 1])):
         role = np.where(band == key, most + 1, np.where(down & (band == key + 1), less + 1, 0))
+        if key == 0:
+            role = np.where(role > 0, larger + 1, 0)
         role[n == 0] = 0
         mine = role[of] > 0
         if not mine.any():
@@ -100,14 +114,17 @@ def signatures(x: np.ndarray, of: np.ndarray, n: np.ndarray, hot: np.ndarray, pe
         tag = B.mix(ss.astype(np.uint64) + np.uint64((int(key) + 1) << 56))
         sigs.append(B.mix(subset[keep] + tag[keep]))
         sets.append(so[keep])
+        rank = (run - run[begin])[keep]
+        small.append((rank <= smaller[so[keep]]) & (band[so[keep]] == 0) if key == 0 else np.ones(len(rank), bool))
         fewer = (keep & sw & (size > 1))[of_seg]
         if fewer.any():
             g = of_seg[fewer]
             sigs.append(B.mix(subset[g] - value[fewer] + tag[g]))
             sets.append(o[fewer])
+            small.append(np.ones(len(g), bool))
     if not sigs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(sigs), np.concatenate(sets)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return np.concatenate(sigs), np.concatenate(sets), np.concatenate(small)
 
 
 def _index(hot, percent: int):
@@ -128,8 +145,8 @@ def _index(hot, percent: int):
                 if len(seen) > 1_000_000:
                     seen.clear()
                 use = fresh[of]
-                sig, of_sig = signatures(x[use], of[use], np.where(fresh, n, 0), table, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[i:j][of_sig])], ["sig", "id"])
+                sig, of_sig, small = signatures(x[use], of[use], np.where(fresh, n, 0), table, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[i:j][of_sig]), pa.array((~small).astype(np.int8))], ["sig", "id", "large"])
 
     return rows
 
@@ -138,9 +155,9 @@ _FOUND = "kind int, sig long, a long, b long, n long"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, id) -> pairs (kind 0, with the number of shared buckets) and the sets of larger buckets (kind 1)."""
+    """Rows sorted by (sig, large, id) -> pairs (kind 0, n: number of shared buckets) and the sets of larger buckets (kind 1, n: large)."""
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    held, big = (np.zeros(0, np.int64), np.zeros(0, np.int64)), None
+    held, big = tuple(np.zeros(0, np.int64) for _ in range(3)), None
 
     def flush():
         a, b = (np.concatenate(v) for v in zip(*pairs, strict=True))
@@ -150,65 +167,103 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         at = np.flatnonzero(new)
-        n = np.diff(np.append(at, len(a)))
         zero = np.zeros(len(at), np.int64)
-        return out(zero.astype(np.int32), zero, a[at], b[at], n)
+        return out(zero.astype(np.int32), zero, a[at], b[at], np.diff(np.append(at, len(a))))
 
     def out(*columns):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "sig", "a", "b", "n"])
 
-    def members(sig, ids):
-        one = np.ones(len(sig), np.int64)
-        return out(one.astype(np.int32), sig, ids, ids, one)
+    def members(sig, ids, large):
+        return out(np.ones(len(sig), np.int32), sig, ids, ids, large)
 
-    def runs(sig, ids, last):
+    def runs(sig, ids, large, last):
         """Handles whole runs; returns the rows of the last one, which may go on, unless it is large."""
         nonlocal big
         if big is not None:
             n = int(np.searchsorted(sig, big[0], "right"))
-            if n:
-                more = ids[:n][ids[:n] != big[1]]
-                pairs.append((np.full(len(more), big[1]), more))
-                yield members(sig[:n], ids[:n])
-                sig, ids = sig[n:], ids[n:]
+            if n and big[1] is not None:
+                pairs.append((np.full(n, big[1]), ids[:n]))
+                yield members(sig[:n], ids[:n], large[:n])
+            sig, ids, large = sig[n:], ids[n:], large[n:]
             if len(sig):
                 big = None
         if not len(sig):
-            return sig, ids
+            return sig, ids, large
         first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         size = np.diff(np.append(first, len(sig)))
-        rest = sig[:0], ids[:0]
+        rest = sig[:0], ids[:0], large[:0]
         if not last:
             if size[-1] > SMALL:
-                big = (sig[-1], ids[first[-1]])
+                big = (sig[-1], None if large[first[-1]] else ids[first[-1]])
             else:
-                rest = sig[first[-1] :], ids[first[-1] :]
-                sig, ids, first, size = sig[: first[-1]], ids[: first[-1]], first[:-1], size[:-1]
+                rest = sig[first[-1] :], ids[first[-1] :], large[first[-1] :]
+                sig, ids, large, first, size = sig[: first[-1]], ids[: first[-1]], large[: first[-1]], first[:-1], size[:-1]
         if len(sig):
             run = np.repeat(np.arange(len(first)), size)
+            holds = (large[first] == 0)[run]  # only then is there a pair at all
             lead = ids[first][run]
-            other = np.arange(len(sig)) != first[run]
+            other = holds & (np.arange(len(sig)) != first[run])
             pairs.append((lead[other], ids[other]))
             for gap in range(1, SMALL - 1):
                 for i in range(1, SMALL - gap):
                     at = first[(size <= SMALL) & (size > i + gap)] + i
+                    at = at[large[at] == 0]
                     pairs.append((ids[at], ids[at + gap]))
-            large = size[run] > SMALL
-            if large.any():
-                yield members(sig[large], ids[large])
+            many = (size[run] > SMALL) & holds
+            if many.any():
+                yield members(sig[many], ids[many], large[many])
         return rest
 
     for b in batches:
-        sig, ids = (np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
-        new = np.append(True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])) if len(sig) else np.zeros(0, bool)
-        held = yield from runs(sig[new], ids[new], False)
+        rows = [np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, h in enumerate(held)]
+        new = np.append(True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) if len(rows[0]) else np.zeros(0, bool)
+        held = yield from runs(*(r[new] for r in rows), False)
         if sum(len(p[0]) for p in pairs) > 400_000:
             yield flush()
     yield from runs(*held, True)
-    if pairs:
+    if pairs and sum(len(p[0]) for p in pairs):
         yield flush()
 
 
+def _possible(percent: int):
+    """Pairs with sizes and slot counts -> those whose intersection can be large enough. A full slot (255) bounds nothing."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = [np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SLOTS) for i in (5, 6)]
+            least = np.minimum(*c).astype(np.int64)
+            least[least == 255] = 1 << 40
+            most, n = least.sum(1), b.column(3).to_numpy() + b.column(4).to_numpy()
+            yield b.select([0, 1, 2]).filter(pa.array(100 * most >= percent * (n - most)))
+
+    return rows
+
+
+def _crossing(percent: int):
+    """Two blocks of a bucket -> the pairs of different components whose slots leave the similarity possible."""
+
+    def rows(f: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(f.i.iloc[0]), int(f.j.iloc[0])
+        sides = [f[f.block == k].sort_values("id") for k in (i, j)]
+        s = [np.frombuffer(b"".join(x.slots), np.uint8).reshape(-1, SLOTS) for x in sides]
+        n, ids, root, large = ([x[c].to_numpy() for x in sides] for c in ("size", "id", "root", "large"))
+        full = (s[0] == 255).any() and (s[1] == 255).any()
+        out = []
+        for lo in range(0, len(ids[0]), 32):
+            at = slice(lo, lo + 32)
+            least = np.minimum(s[0][at][:, None], s[1][None])
+            most = least.sum(2, dtype=np.int64)
+            if full:
+                most += (least == 255).sum(2).astype(np.int64) << 40
+            ok = (100 * most >= percent * (n[0][at][:, None] + n[1] - most)) & (root[0][at][:, None] != root[1]) & ((large[0][at][:, None] == 0) | (large[1] == 0))
+            x, y = np.nonzero(ok)
+            out.append(np.sort(np.stack([ids[0][at][x], ids[1][y]]), 0))
+        a, b = np.concatenate(out, 1) if out else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    return rows
+
+
 def _verified(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,10 +312,22 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    profile = scratch.save(docs.mapInArrow(_profile, "doc_id long, n_shingles long, p long, q long"), "profile")
+    profile = scratch.save(docs.mapInArrow(_profile, "doc_id long, n_shingles long, p long, q long, slots binary"), "profile")
     some = profile.where("doc_id is not null and n_shingles > 0")
     classes = scratch.save(some.groupBy("n_shingles", "p", "q").agg(F.min("doc_id").alias("rep")), "classes")
-    of = scratch.save(some.join(classes, ["n_shingles", "p", "q"]).select("doc_id", "rep"), "reps")
+    joined = some.join(classes, ["n_shingles", "p", "q"])
+    of = scratch.save(joined.select("doc_id", "rep"), "reps")
+    slots = scratch.save(joined.where("doc_id = rep").select("rep", F.col("n_shingles").alias("size"), "slots"), "slots")
+
+    def possible(candidates: DataFrame) -> DataFrame:
+        """Of (a, b, n) those that size and slots leave."""
+        for c in ("a", "b"):
+            candidates = candidates.join(slots.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}")), c)
+        near = candidates.where(F.lit(percent) * F.greatest("size_a", "size_b") <= 100 * F.least("size_a", "size_b"))
+        for c in ("a", "b"):
+            near = near.join(slots.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("slots").alias(f"slots_{c}")), [c, f"size_{c}"])
+        return near.select("a", "b", "n", "size_a", "size_b", "slots_a", "slots_b").mapInArrow(_possible(percent), "a long, b long, n long")
+
     every = max(1, some.count() // SAMPLE)
     picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(every)) == 0).select("text")
     counted = picked.mapInArrow(_sampled, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(HOT_LIMIT)
@@ -269,33 +336,52 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     table[(found >> np.uint64(64 - HOT_BITS)).astype(np.int64)] = True
     hot = spark.sparkContext.broadcast(table)
 
-    rows = docs.where("doc_id is not null").mapInArrow(_index(hot, percent), "sig long, id long")
-    runs = scratch.save(rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_runs, _FOUND), "runs")
-    mapped = runs.where("kind = 0").select("a", "b", "n")
+    rows = docs.where("doc_id is not null").mapInArrow(_index(hot, percent), "sig long, id long, large byte")
+    runs = scratch.save(rows.repartition("sig").sortWithinPartitions("sig", "large", "id").mapInArrow(_runs, _FOUND), "runs")
+    mapped = runs.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
     for c in ("a", "b"):
         mapped = mapped.join(of.groupBy("doc_id").agg(F.min("rep").alias("rep")).withColumnRenamed("doc_id", c), c).drop(c).withColumnRenamed("rep", c)
     mapped = mapped.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n"))
-    pairs = scratch.save(mapped, "pairs")
+    pairs = scratch.save(possible(mapped), "pairs")
 
-    best = pairs.groupBy(F.col("b").alias("x")).agg(F.max_by("a", F.struct("n", "a")).alias("y")).union(pairs.groupBy(F.col("a").alias("x")).agg(F.max_by("b", F.struct("n", "b")).alias("y")))
-    best = scratch.save(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "best")
     # rows that share a doc_id are one document
     shared = of.join(of.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
-    links = scratch.save(_check(best, docs, percent, scratch).union(shared), "links1")
+    links = scratch.save(_check(pairs.select("a", "b"), docs, percent, scratch).union(shared), "links1")
     roots = components(links, scratch)
 
-    def apart(candidates: DataFrame) -> DataFrame:
-        for c, r in (("a", "ra"), ("b", "rb")):
-            candidates = candidates.join(roots.select(F.col("id").alias(c), F.col("root").alias(r)), c, "left").withColumn(r, F.coalesce(r, c))
-        return candidates.where("ra <> rb").select("a", "b")
-
-    many = runs.where("kind = 1").select("sig", F.col("a").alias("doc_id")).join(of, "doc_id").select("sig", F.col("rep").alias("id")).distinct()
-    many = many.join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
-    mixed = many.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    many = scratch.save(many.join(mixed, "sig"), "mixed")
-    crossed = many.alias("l").join(many.alias("r"), F.expr("l.sig = r.sig and l.root < r.root")).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
-    left = scratch.save(apart(pairs).union(crossed).distinct().join(best, ["a", "b"], "left_anti"), "left")
-    more = _check(left, docs, percent, scratch)
+    many = runs.where("kind = 1").select("sig", F.col("a").alias("doc_id"), F.col("n").alias("large")).join(of, "doc_id").groupBy("sig", F.col("rep").alias("id")).agg(F.min("large").alias("large"))
+    many = many.join(slots.groupBy(F.col("rep").alias("id")).agg(F.min("size").alias("size_lo"), F.max("size").alias("size_hi")), "id")
+    fits = f"{percent} * l.size_lo <= 100 * r.size_hi and {percent} * r.size_lo <= 100 * l.size_hi"
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows of buckets that still hold several components."""
+        rows = rows.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        some = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
+        return scratch.save(rows.join(some, "sig"), "mixed")
+
+    def ends(found: DataFrame) -> DataFrame:
+        found = scratch.save(found.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct(), "crossed")
+        return possible(found.withColumn("n", F.lit(1).cast("long"))).select("a", "b")
+
+    def verified(found: DataFrame) -> DataFrame:
+        """Links among candidates that weren't compared before."""
+        return _check(scratch.save(found.distinct().join(pairs, ["a", "b"], "left_anti"), "left"), docs, percent, scratch)
+
+    # a second, random lead of each bucket, so that what remains is only what few others are close to
+    many = mixed(many)
+    lead = many.where("large = 0").groupBy("sig").agg(F.min_by(F.struct("id", "root", "size_lo", "size_hi"), F.xxhash64("sig", "id")).alias("l")).select("sig", "l.*")
+    links = scratch.save(links.union(verified(ends(many.alias("r").join(lead.alias("l"), F.expr(f"l.sig = r.sig and l.root <> r.root and {fits}"))))), "links2")
+    roots = components(links, scratch)
+    many = mixed(many)
+    counts = scratch.save(many.groupBy("sig").agg(F.count("*").alias("m")), "counts")
+    sized = many.join(counts, "sig")
+    few = sized.where(F.col("m") <= JOINED)
+    small = ends(few.alias("l").join(few.alias("r"), F.expr(f"l.sig = r.sig and l.root < r.root and (l.large = 0 or r.large = 0) and {fits}")))
+    blocks = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
+    dealt = sized.where(F.col("m") > JOINED).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("sig", "id", "root", "large", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.join(slots.withColumnRenamed("rep", "id"), "id").groupBy("sig", "i", "j").applyInPandas(_crossing(percent), "a long, b long")
+    more = verified(small.union(dealt))
     roots = components(links.union(more), scratch)
     whole = profile.join(of.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     return whole.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
