@@ -65,7 +65,7 @@ def straight(spark, ways):
 
 def test_straight_trip_matches_forward(spark):
     segs = matching.segments(straight(spark, {1: [(1, 0), (2, 5), (3, 10), (4, 20)]}))
-    fixes = spark.createDataFrame([(7, i, pd.Timestamp("2026-07-08 10:00:00") + pd.Timedelta(seconds=i), 49.7, 9.0 + x / 10000, 5.0) for i, x in enumerate((0, 2, 4, 6, 10))], "trip_id long, seq long, ts timestamp, lat double, lon double, acc double")
+    fixes = spark.createDataFrame([(7, i, (pd.Timestamp("2026-07-08 10:00:00") + pd.Timedelta(seconds=i)).to_pydatetime(), 49.7, 9.0 + x / 10000, 5.0) for i, x in enumerate((0, 2, 4, 6, 10))], "trip_id long, seq long, ts timestamp, lat double, lon double, acc double")
     near = matching.subtracks(matching.candidates(fixes, segs)).withColumn("oneway", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(0))
     got = matching.driven_intervals(matching.viterbi_steps(near, segs), near).collect()
     assert [(r.way_id, r.direction) for r in got] == [(1, "forward")]
