@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import bytes_np as B
 
@@ -342,7 +343,8 @@ def decode_column(media: DataFrame, column: str = "media") -> DataFrame:
             size = [pa.array([None if g is None else g.shape[i] for g in got], pa.int32()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*b.columns, *size, pa.array([None if g is None else g.tobytes() for g in got], pa.binary())], names)
 
-    return media.mapInArrow(rows, media.schema.add("height", "integer").add("width", "integer").add("rgb", "binary"))
+    schema = StructType(list(media.schema.fields))  # add() changes the schema it is called on
+    return media.mapInArrow(rows, schema.add("height", "integer").add("width", "integer").add("rgb", "binary"))
 
 
 # -- the payload store -------------------------------------------------------------------------------------------
