@@ -156,6 +156,20 @@ def test_line_dedup_equals_brute_force(spark):
     assert got <= true and len(got) >= 0.95 * len(true)
 
 
+def test_line_dedup_pairs_in_crowded_buckets(spark):
+    """Near pairs are found where their buckets hold many variants of one template that match neither of them."""
+    r = random.Random(9)
+    slots = [[" ".join(f"{sentence(r, 1)}{r.randrange(10**6)}" for _ in range(3)) for _ in range(2)] for _ in range(60)]
+    lines = []
+    for _ in range(300):
+        picks = [r.random() < 0.3 for _ in slots]
+        swapped = r.sample(range(60), 3)
+        near = [x != (i in swapped) for i, x in enumerate(picks)]
+        lines += [" ".join(s[x] for s, x in zip(slots, p, strict=True)) for p in (picks, near)]
+    got = {x.line_no for x in line_dedup.duplicate_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()}
+    assert 290 <= len(got) <= 310
+
+
 def test_token_counts_equal_the_library(docs, empty):
     import public_tokenizers
     import sentencepiece
