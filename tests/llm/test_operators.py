@@ -170,6 +170,25 @@ def test_line_dedup_pairs_in_crowded_buckets(spark):
     assert 290 <= len(got) <= 310
 
 
+def test_line_dedup_equals_brute_force_on_character_shingles(spark):
+    """Lines of a few words with one edited character or another letter case; the brute force cuts its own shingles."""
+    r = random.Random(11)
+    lines = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 8))) for _ in range(r.randint(5, 20))) for _ in range(80)]
+    for k in range(60):
+        i = r.randrange(len(lines[k]))
+        lines.append(lines[k][:i] + "9" + lines[k][i + 1 :])
+    lines += [lines[k].title() for k in range(60, 80)] + ["a", "A", "abcd", "ABCD", "a\rbcdef", "a\rBCDEF"]
+    sets = [{t[i : i + 7] for i in range(max(1, len(t) - 6))} for t in (x.lower() for x in lines)]
+    parent = {i: i for i in range(len(lines))}
+    for i in range(len(lines)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                union(parent, i, j)
+    true = {i for i in parent if find(parent, i) != i}
+    got = {x.line_no for x in line_dedup.duplicate_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()}
+    assert len(true) > 60 and got <= true and len(got) >= 0.95 * len(true)
+
+
 def test_token_counts_equal_the_library(docs, empty):
     import public_tokenizers
     import sentencepiece
