@@ -125,6 +125,17 @@ def test_signatures_meet_for_every_similar_pair():
             assert both and any(small[sig == s].any() for s in both)
 
 
+def test_bitmaps_bound_the_difference():
+    r = np.random.default_rng(3)
+    for n, m, both in ((90, 100, 80), (400, 500, 380), (700, 900, 500), (3, 3, 2), (70_000, 80_000, 69_000)):
+        x, y = (r.integers(0, 2**63, k).astype(np.uint64) for k in (n, m))
+        y[:both] = x[:both]
+        a, b = (ngram_join._stacked(ngram_join._bitmaps(v, np.array([len(v)]))) for v in (x, y))
+        words = min(a.shape[1], b.shape[1])
+        differ = int(np.bitwise_count(ngram_join._folded(a, words) ^ ngram_join._folded(b, words)).sum())
+        assert 0 < differ <= n + m - 2 * both
+
+
 def test_line_dedup(spark, empty):
     r = random.Random(5)
     a, b = sentence(r, 30), sentence(r, 30)
@@ -219,7 +230,7 @@ def test_checksums_of_parts():
 
 
 def test_mixing(docs, empty):
-    got = mixing.mix(docs).toPandas()
+    got = mixing.mix(docs, keep=("source",)).toPandas()
     assert sorted(got["size"]) == sorted(len(words(t)) for _, t, *_ in corpus())
     for _, g in got.groupby("source", dropna=False):
         assert g["size"].sum() == g.source_size.iloc[0] and abs(g.taken.sum() - g.target.iloc[0]) <= 0.5
@@ -387,7 +398,9 @@ def test_stages(spark, docs):
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     d = docs.select(*names)
     kept = corpus_pipeline.language_id(spark, d, "")
-    assert kept.columns == names and {r.doc_id for r in d.collect()} - {r.doc_id for r in kept.collect()} == {i for i, t, *_ in corpus() if i is not None and not any(c.isalpha() for c in t or "")}
+    rejected = {r.doc_id for r in d.collect()} - {r.doc_id for r in kept.collect()}
+    assert kept.columns == names and rejected >= {i for i, t, *_ in corpus() if i is not None and not any(c.isalpha() for c in t or "")} and len(rejected) < 15
+    assert all(r.lang for r in kept.collect())
     lines = corpus_pipeline.line_dedup(spark, kept, "")
     assert lines.columns == names and all(r.text.strip() for r in lines.collect())
     joined = corpus_pipeline.ngram_join(spark, kept, "")

@@ -24,6 +24,8 @@ from . import bytes_np as B
 
 #: Labelled texts per language that are learned from at most, hashed features, passes of the training, regularisation.
 SAMPLE, BITS, PASSES, COST = 300, 13, 30, 50.0
+#: Score below which the pipeline's stage takes a text for one of no known language.
+ACCEPTED = 0.2
 #: Scale of the features, which are shares of a text's letters.
 UNIT = 20.0
 #: Families of languages by code. A language that isn't listed is its own family.
@@ -64,19 +66,22 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([x.tobytes()])], ["lang", "x"])
 
 
-def _svm(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
-    """Weights and bias (last) of a linear L2-loss machine, by dual coordinate descent."""
+def _svm(x: np.ndarray, use: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
+    """Weights and bias (last) of a linear L2-loss machine on the rows `use` of x, by dual coordinate descent. x isn't copied."""
     rng = np.random.default_rng(seed)
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w, a, q = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(1) + 0.5 / COST
+    w, bias, a = np.zeros(x.shape[1]), 0.0, np.zeros(len(use))
+    q = np.array([float(x[i] @ x[i]) for i in use]) + 1 + 0.5 / COST
     for _ in range(PASSES):
-        for i in rng.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + a[i] * 0.5 / COST
-            new = max(0.0, a[i] - g / q[i])
-            if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
-                a[i] = new
-    return w
+        for k in rng.permutation(len(use)):
+            row = x[use[k]]
+            g = y[k] * (row @ w + bias) - 1 + a[k] * 0.5 / COST
+            new = max(0.0, a[k] - g / q[k])
+            if new != a[k]:
+                step = (new - a[k]) * y[k]
+                w += step * row
+                bias += step
+                a[k] = new
+    return np.append(w, bias)
 
 
 class Model:
@@ -91,10 +96,10 @@ class Model:
         self.pairs = [(a, b) for a, b in combinations(self.langs, 2) if _FAMILY.get(a, a) == _FAMILY.get(b, b)]
         rows = []
         if len(self.families) > 1:
-            rows = [_svm(x, np.where(family == f, 1.0, -1.0), k) for k, f in enumerate(self.families)]
+            rows = [_svm(x, np.arange(len(x)), np.where(family == f, 1.0, -1.0), k) for k, f in enumerate(self.families)]
         for k, (a, b) in enumerate(self.pairs):
-            mine = (labels == a) | (labels == b)
-            rows.append(_svm(x[mine], np.where(labels[mine] == a, 1.0, -1.0), 100 + k))
+            mine = np.flatnonzero((labels == a) | (labels == b))
+            rows.append(_svm(x, mine, np.where(labels[mine] == a, 1.0, -1.0), 100 + k))
         self.w = np.array(rows, np.float32) if rows else np.zeros((0, x.shape[1] + 1), np.float32)
 
     def decide(self, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -123,13 +128,13 @@ def train(docs: DataFrame, training: Column) -> Model | None:
     if not counts:
         return None
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, 1.25 * SAMPLE / n))) for k, n in sorted(counts.items())))
-    key = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    got: dict[str, list] = {}
-    for lang, x in rows.where(key < share).select("lang", "text").mapInArrow(_vectors, "lang string, x binary").toLocalIterator():
-        if len(got.setdefault(lang, [])) < SAMPLE:
-            got[lang].append(np.frombuffer(x, np.float32))
-    pairs = [(k, v) for k in sorted(got) for v in got[k]]
-    return Model([k for k, _ in pairs], np.array([v for _, v in pairs], np.float32)) if pairs else None
+    key = F.pmod(F.xxhash64("doc_id", "text", F.lit(2)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    x, langs = np.zeros((SAMPLE * len(counts), 1 << BITS), np.float32), []
+    for lang, v in rows.where(key < share).select("lang", "text").mapInArrow(_vectors, "lang string, x binary").toLocalIterator():
+        if langs.count(lang) < SAMPLE:
+            x[len(langs)] = np.frombuffer(v, np.float32)
+            langs.append(lang)
+    return Model(langs, x[: len(langs)]) if langs else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -185,6 +190,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def reject_unknown(docs: DataFrame) -> DataFrame:
-    """The rows whose text has a language: those without a letter are rejected."""
-    found = predict(docs, train(docs, ~held_out(F.col("doc_id"))))
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    """The rows whose text is in a known language; a null lang becomes the predicted one, other columns stay.
+
+    Rejected are texts without a letter, and texts that no family's machine accepts (score below ACCEPTED). Without any
+    labelled text there is no model, and only texts without a letter go.
+    """
+    model = train(docs, ~held_out(F.col("doc_id")))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= ACCEPTED))
+    return found.select(*(F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))

@@ -42,8 +42,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return s.select("source", "n", "source_size", F.least("room", F.coalesce(F.col("open") * F.col("w"), F.col("room"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
-    """(doc_id, text, source) -> doc_id, size, source_size, target, taken, one row for each row.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, source) -> doc_id, size, source_size, target, taken, and source if kept, one row for each row.
 
     size counts words (null text: 0). taken is the words that the mix takes of the document: its size for each epoch,
     and in the last epoch only what the source's budget (its target, rounded) still holds, so that a source's taken
@@ -81,5 +81,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
     w = W.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
     inside = inside.withColumn("start", F.col("cut_before") + F.coalesce(F.sum("size").over(w), F.lit(0).cast("long"))).withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("cut") - F.col("start"))))
     others = rows.where("cut_bucket is null or bucket <> cut_bucket").withColumn("part", F.when(F.col("bucket") <= F.col("last_whole"), F.col("size")).otherwise(F.lit(0)))
-    pick = ["doc_id", "source", "size", "source_size", "target", (base + F.col("part")).cast("long").alias("taken")]
+    pick = ["doc_id", *keep, "size", "source_size", "target", (base + F.col("part")).cast("long").alias("taken")]
     return inside.select(*pick).union(others.select(*pick))

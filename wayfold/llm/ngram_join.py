@@ -18,8 +18,9 @@ above grow fourfold, with half as many cold segments as the band's largest set h
 H + 1 would miss its guarantee; for the smallest such band that is beyond seven standard deviations, and the hot
 segments still count double.) A set also indexes itself in the band below if a partner may lie there.
 
-Candidates whose sizes, or whose counts of shingles by hash slot, already exclude the similarity are left out; that bound
-on the intersection is exact too. The rest are verified exactly, on texts read again. Sets of one bucket are first held against the bucket's smallest
+Candidates whose sizes, or whose bitmaps, already exclude the similarity are left out: a set's bitmap has about four bits
+a shingle, and a bit that one set has and the other lacks stands for a shingle of only one of them, so that bound on the
+difference is exact too. Bitmaps of different sizes are folded onto the smaller. The rest are verified exactly, on texts read again. Sets of one bucket are first held against the bucket's smallest
 id, linear in the bucket; only what this leaves in different components is then compared pair by pair.
 """
 
@@ -39,8 +40,8 @@ from .scratch import Scratch
 
 #: Documents whose shingles are counted to find hot ones (bound on the sample), and entries of the table of hot hashes.
 SAMPLE, HOT_BITS, HOT_LIMIT = 4096, 22, 65_536
-#: Slots of the table of counts by which a candidate's intersection is bounded.
-SLOTS = 256
+#: Bits of a set's bitmap, by which a candidate's difference is bounded: a power of two, four for each shingle, between these.
+BITS_LEAST, BITS_MOST = 512, 1 << 18
 #: Buckets of up to this many sets are compared pair by pair at once; of up to so many by a join once leads have been
 #: compared; larger ones block against block, in blocks of so many sets.
 SMALL, JOINED, BLOCK = 3, 64, 512
@@ -50,18 +51,36 @@ def _edges() -> list[int]:
     return [1, *(512 * 4**i for i in range(15))]
 
 
+def _bitmaps(x: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Each set's bitmap; hashes come set by set."""
+    wide = np.clip(1 << np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64), BITS_LEAST, BITS_MOST)
+    at, begin = np.repeat(np.cumsum(wide) - wide, n), np.cumsum(wide) - wide
+    flags = np.zeros(int(wide.sum()), np.uint8)
+    flags[at + (x % np.repeat(wide, n).astype(np.uint64)).astype(np.int64)] = 1
+    packed = np.packbits(flags, bitorder="little").tobytes()
+    return [packed[a // 8 : (a + w) // 8] for a, w in zip(begin.tolist(), wide.tolist(), strict=True)]
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bitmaps on so many 64-bit words, no more than they have."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), 1)
+
+
+def _stacked(bitmaps: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), -1)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, at = B.texts(b.column(1))
-        out = []
+        out, bits = [], []
         for i, j in B.chunks(at):
-            x, of, n = B.shingles(*B.words(data[at[i] : at[j]], at[i : j + 1] - at[i]))
-            slots = np.minimum(np.bincount(of * SLOTS + (x % np.uint64(SLOTS)).astype(np.int64), minlength=(j - i) * SLOTS), 255)
-            out.append((n, B.sums(x, n), B.sums(B.mix(x + np.uint64(77)), n), slots.astype(np.uint8).reshape(-1, SLOTS)))
+            x, _, n = B.shingles(*B.words(data[at[i] : at[j]], at[i : j + 1] - at[i]))
+            out.append((n, B.sums(x, n), B.sums(B.mix(x + np.uint64(77)), n)))
+            bits += _bitmaps(x, n)
         if out:
-            n, p, q, slots = (np.concatenate(v) for v in zip(*out, strict=True))
-            slots = pa.array([v.tobytes() for v in slots], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(p.view(np.int64)), pa.array(q.view(np.int64)), slots], ["doc_id", "n_shingles", "p", "q", "slots"])
+            n, p, q = (np.concatenate(v) for v in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(p.view(np.int64)), pa.array(q.view(np.int64)), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "p", "q", "bits"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,39 +244,54 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with bitmaps a, b and n shingles together can differ in so little. Bitmaps broadcast against each other."""
+    differ = np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+    return (100 + percent) * differ <= (100 - percent) * n
+
+
 def _possible(percent: int):
-    """Pairs with sizes and slot counts -> those whose intersection can be large enough. A full slot (255) bounds nothing."""
+    """Pairs with sizes and bitmaps -> those whose difference can be small enough."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = [np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SLOTS) for i in (5, 6)]
-            least = np.minimum(*c).astype(np.int64)
-            least[least == 255] = 1 << 40
-            most, n = least.sum(1), b.column(3).to_numpy() + b.column(4).to_numpy()
-            yield b.select([0, 1, 2]).filter(pa.array(100 * most >= percent * (n - most)))
+            left, right = b.column(5).to_pylist(), b.column(6).to_pylist()
+            n = b.column(3).to_numpy() + b.column(4).to_numpy()
+            ok = np.zeros(b.num_rows, bool)
+            kinds = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+            for kind in np.unique(kinds, axis=0):
+                words = int(kind.min()) // 8
+                at = np.flatnonzero((kinds == kind).all(1))
+                for part in np.array_split(at, -(-len(at) * int(kind.max()) // (1 << 24))):
+                    sides = (_folded(_stacked([x[i] for i in part]), words) for x in (left, right))
+                    ok[part] = _near(*sides, n[part], percent)
+            yield b.select([0, 1, 2]).filter(pa.array(ok))
 
     return rows
 
 
 def _crossing(percent: int):
-    """Two blocks of a bucket -> the pairs of different components whose slots leave the similarity possible."""
+    """Two blocks of a bucket -> the pairs of different components whose bitmaps leave the similarity possible."""
 
     def rows(f: pd.DataFrame) -> pd.DataFrame:
         i, j = int(f.i.iloc[0]), int(f.j.iloc[0])
-        sides = [f[f.block == k].sort_values("id") for k in (i, j)]
-        s = [np.frombuffer(b"".join(x.slots), np.uint8).reshape(-1, SLOTS) for x in sides]
-        n, ids, root, large = ([x[c].to_numpy() for x in sides] for c in ("size", "id", "root", "large"))
-        full = (s[0] == 255).any() and (s[1] == 255).any()
+        width = f.bits.map(len)
         out = []
-        for lo in range(0, len(ids[0]), 32):
-            at = slice(lo, lo + 32)
-            least = np.minimum(s[0][at][:, None], s[1][None])
-            most = least.sum(2, dtype=np.int64)
-            if full:
-                most += (least == 255).sum(2).astype(np.int64) << 40
-            ok = (100 * most >= percent * (n[0][at][:, None] + n[1] - most)) & (root[0][at][:, None] != root[1]) & ((large[0][at][:, None] == 0) | (large[1] == 0))
-            x, y = np.nonzero(ok)
-            out.append(np.sort(np.stack([ids[0][at][x], ids[1][y]]), 0))
+        for u in sorted(set(width)):
+            for v in (x for x in sorted(set(width)) if u <= 2 * x and x <= 2 * u):  # sizes further apart exclude each other
+                l, r = f[(f.block == i) & (width == u)], f[(f.block == j) & (width == v)]
+                if not len(l) or not len(r):
+                    continue
+                words = min(u, v) // 8
+                a, b = (_folded(_stacked(list(x.bits)), words) for x in (l, r))
+                n, ids, root, large = ([x[c].to_numpy() for x in (l, r)] for c in ("size", "id", "root", "large"))
+                step = max(1, (1 << 22) // (len(r) * words))
+                for lo in range(0, len(l), step):
+                    at = slice(lo, lo + step)
+                    ok = (root[0][at][:, None] != root[1]) & ((large[0][at][:, None] == 0) | (large[1] == 0))
+                    ok &= _near(a[at][:, None], b[None], n[0][at][:, None] + n[1], percent)
+                    x, y = np.nonzero(ok)
+                    out.append(np.sort(np.stack([ids[0][at][x], ids[1][y]]), 0))
         a, b = np.concatenate(out, 1) if out else (np.zeros(0, np.int64),) * 2
         return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
@@ -312,21 +346,21 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    profile = scratch.save(docs.mapInArrow(_profile, "doc_id long, n_shingles long, p long, q long, slots binary"), "profile")
+    profile = scratch.save(docs.mapInArrow(_profile, "doc_id long, n_shingles long, p long, q long, bits binary"), "profile")
     some = profile.where("doc_id is not null and n_shingles > 0")
     classes = scratch.save(some.groupBy("n_shingles", "p", "q").agg(F.min("doc_id").alias("rep")), "classes")
     joined = some.join(classes, ["n_shingles", "p", "q"])
     of = scratch.save(joined.select("doc_id", "rep"), "reps")
-    slots = scratch.save(joined.where("doc_id = rep").select("rep", F.col("n_shingles").alias("size"), "slots"), "slots")
+    bitmaps = scratch.save(joined.where("doc_id = rep").select("rep", F.col("n_shingles").alias("size"), "bits"), "bits")
 
     def possible(candidates: DataFrame) -> DataFrame:
-        """Of (a, b, n) those that size and slots leave."""
+        """Of (a, b, n) those that size and bitmaps leave."""
         for c in ("a", "b"):
-            candidates = candidates.join(slots.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}")), c)
+            candidates = candidates.join(bitmaps.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}")), c)
         near = candidates.where(F.lit(percent) * F.greatest("size_a", "size_b") <= 100 * F.least("size_a", "size_b"))
         for c in ("a", "b"):
-            near = near.join(slots.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("slots").alias(f"slots_{c}")), [c, f"size_{c}"])
-        return near.select("a", "b", "n", "size_a", "size_b", "slots_a", "slots_b").mapInArrow(_possible(percent), "a long, b long, n long")
+            near = near.join(bitmaps.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")), [c, f"size_{c}"])
+        return near.select("a", "b", "n", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(_possible(percent), "a long, b long, n long")
 
     every = max(1, some.count() // SAMPLE)
     picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(every)) == 0).select("text")
@@ -350,7 +384,7 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     roots = components(links, scratch)
 
     many = runs.where("kind = 1").select("sig", F.col("a").alias("doc_id"), F.col("n").alias("large")).join(of, "doc_id").groupBy("sig", F.col("rep").alias("id")).agg(F.min("large").alias("large"))
-    many = many.join(slots.groupBy(F.col("rep").alias("id")).agg(F.min("size").alias("size_lo"), F.max("size").alias("size_hi")), "id")
+    many = many.join(bitmaps.groupBy(F.col("rep").alias("id")).agg(F.min("size").alias("size_lo"), F.max("size").alias("size_hi")), "id")
     fits = f"{percent} * l.size_lo <= 100 * r.size_hi and {percent} * r.size_lo <= 100 * l.size_hi"
 
     def mixed(rows: DataFrame) -> DataFrame:
@@ -380,8 +414,9 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     blocks = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
     dealt = sized.where(F.col("m") > JOINED).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("sig", "id", "root", "large", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dealt = dealt.join(slots.withColumnRenamed("rep", "id"), "id").groupBy("sig", "i", "j").applyInPandas(_crossing(percent), "a long, b long")
+    dealt = dealt.join(bitmaps.withColumnRenamed("rep", "id"), "id").groupBy("sig", "i", "j").applyInPandas(_crossing(percent), "a long, b long")
     more = verified(small.union(dealt))
     roots = components(links.union(more), scratch)
+    scratch.drop(runs, pairs, bitmaps, classes)
     whole = profile.join(of.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     return whole.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))

@@ -18,21 +18,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Cuts lineage by writing tables; a table is dropped as soon as a later one replaces it."""
+    """Cuts lineage by writing tables. drop() deletes those that no later step and no result reads."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, shared_dir(spark), {}
+        self.spark, self.root = spark, shared_dir(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (out, path)
+        out.scratch_path = path  # kept on the table itself, so that no table is held longer than its user holds it
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            _, path = self.paths.pop(id(t), (None, None))
-            if path:
+            if path := getattr(t, "scratch_path", None):
                 p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
