@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +68,44 @@ def emission(distance: Column, accuracy: Column) -> Column:
 def search_radius(accuracy: Column) -> Column:
     ok = accuracy.isNotNull() & ~F.isnan(accuracy) & (accuracy > 0)
     return F.when(ok, F.least(F.lit(RADIUS_MOST), F.greatest(F.lit(RADIUS), F.lit(RADIUS) + accuracy / 2))).otherwise(F.lit(RADIUS))
+
+
+def transition(route: Column, straight: Column, beta: float = BETA) -> Column:
+    """Log probability of a step whose route and straight line differ."""
+    return F.lit(-math.log(beta)) - F.abs(route - straight) / F.lit(beta)
+
+
+def tile_box(x: Column, y: Column, zoom: int = 12) -> dict[str, Column]:
+    """A tile's box: min_lat, min_lon, max_lat, max_lon."""
+    n = float(1 << zoom)
+    lat = lambda v: F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - v * 2 / F.lit(n)))))
+    lon = lambda v: v / F.lit(n) * 360.0 - 180.0
+    return {"min_lat": lat(y + 1), "min_lon": lon(x), "max_lat": lat(y), "max_lon": lon(x + 1)}
+
+
+def box_tiles(min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Column, zoom: int = 12) -> Column:
+    """All tiles that a box touches, as an array of {x, y}, x before y. Tile rows grow southwards."""
+    xs = F.sequence(tile_x(min_lon, zoom), tile_x(max_lon, zoom))
+    ys = F.sequence(tile_y(max_lat, zoom), tile_y(min_lat, zoom))
+    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+
+def plane_metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Metres in the plane at the middle latitude."""
+    x = (lon2 - lon1) * F.lit(PLANE) * F.cos(F.radians((lat1 + lat2) / 2))
+    y = (lat2 - lat1) * F.lit(PLANE)
+    return F.sqrt(x * x + y * y)
+
+
+def padded(low: Column, high: Column) -> tuple[Column, Column]:
+    """A span of less than 1e-4 degrees, widened by 5e-4 on both sides."""
+    thin = high - low < 1e-4
+    return F.when(thin, low - 5e-4).otherwise(low), F.when(thin, high + 5e-4).otherwise(high)
+
+
+def pixel(lat: Column, lon: Column, box: dict[str, Column], width: float, height: float, pad: float) -> tuple[Column, Column]:
+    """Where in an image a place is drawn, whose box fills the image but for a pad; null outside of the box and for an empty one."""
+    fx = F.try_divide(lon - box["min_lon"], box["max_lon"] - box["min_lon"])
+    fy = F.lit(1.0) - F.try_divide(lat - box["min_lat"], box["max_lat"] - box["min_lat"])
+    sound = (box["max_lat"] > box["min_lat"]) & (box["max_lon"] > box["min_lon"]) & F.lit(width > 2 * pad and height > 2 * pad) & fx.between(0, 1) & fy.between(0, 1)
+    return F.when(sound, F.lit(pad) + fx * (width - 2 * pad)), F.when(sound, F.lit(pad) + fy * (height - 2 * pad))

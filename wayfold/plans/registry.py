@@ -12,6 +12,7 @@ from ..functions import geo
 from ..operators import coverage, matching
 from ..sources.views import load, oracle
 from ..streaming import ingest
+from . import domain, models  # noqa: F401  models adds its queries to domain's
 from .relational import _A, _HAV, _LAG, SQL
 
 
@@ -50,11 +51,6 @@ def gap_split_sessions(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("trip_id", "session").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
-def heading(spark: SparkSession, d: str) -> DataFrame:
-    b = geo.bearing(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
-    return _steps(spark, d).select("trip_id", "seq", F.round(F.when(F.col("d") > 5, b), 3).alias("heading"))
-
-
 def emission_logprob(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "d_fixes").select("trip_id", "seq", F.round(geo.emission(F.col("speed_kmh") / 4, F.col("acc")), 6).alias("emit"))
 
@@ -64,34 +60,45 @@ def segments_explode(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Fixes along ways: vertices moved by some metres, so that matching has something to match.
-_WALK = """SELECT CAST(way_id%500 AS BIGINT) AS trip_id, CAST(floor(way_id/500)*4+i AS BIGINT) AS seq, TIMESTAMP '2026-01-01 00:00:00' AS ts0, lat+CAST((way_id*7+i*3)%11-5 AS DOUBLE)/100000 AS lat, lon+CAST((way_id*5+i)%9-4 AS DOUBLE)/100000 AS lon, CAST(8+way_id%20 AS DOUBLE) AS acc FROM d_vertices"""
+_WALK = """SELECT CAST(way_id%500 AS BIGINT) AS trip_id, CAST(20+way_id%30 AS DOUBLE)-CAST(i*5 AS DOUBLE) AS speed_kmh, CAST(floor(way_id/500)*4+i AS BIGINT) AS seq, TIMESTAMP '2026-01-01 00:00:00' AS ts0, lat+CAST((way_id*7+i*3)%11-5 AS DOUBLE)/100000 AS lat, lon+CAST((way_id*5+i)%9-4 AS DOUBLE)/100000 AS lon, CAST(8+way_id%20 AS DOUBLE) AS acc FROM d_vertices"""
+
+
+#: Classes and one-way rules of ways for matching.
+_ROADS = """SELECT p_partkey AS way_id, CASE p_size%5 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk_link' ELSE 'residential' END AS highway, CASE p_size%7 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS oneway FROM part"""
 
 
-def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _matching(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Fixes, candidates, segments and vertices."""
     v = load(spark, d, "d_vertices")
     fixes = spark.sql(_WALK).withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts0") + F.col("seq") * 5)).drop("ts0")
-    segs = matching.segments(v)
-    return matching.candidates(fixes, segs), segs
+    segs = matching.segments(v.join(spark.sql(_ROADS), "way_id"))
+    return fixes, matching.candidates(fixes, segs), segs, v
 
 
 def candidates_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _candidates(spark, d)[0].select("trip_id", "seq", "cand_rank", "way_id", F.round("dist", 3).alias("dist"))
+    near = _matching(spark, d)[1]
+    return near.select("trip_id", "seq", "cand_rank", "way_id", F.round("dist", 3).alias("dist"), F.round("emit", 4).alias("emit"))
 
 
 def low_confidence_drop(spark: SparkSession, d: str) -> DataFrame:
-    near = matching.subtracks(_candidates(spark, d)[0])
-    return near.groupBy("trip_id").agg(F.countDistinct("seq").alias("n_fixes"), F.countDistinct("track").alias("n_tracks"))
+    fixes, near, _, _ = _matching(spark, d)
+    return matching.subtracks(near, fixes).groupBy("trip_id").agg(F.countDistinct("seq").alias("n_fixes"), F.countDistinct("track").alias("n_tracks"))
 
 
 def viterbi_steps(spark: SparkSession, d: str) -> DataFrame:
-    near, segs = _candidates(spark, d)
-    return matching.viterbi_steps(matching.subtracks(near).withColumn("oneway", F.lit(0)), segs)
+    fixes, near, segs, _ = _matching(spark, d)
+    return matching.viterbi_steps(matching.subtracks(near, fixes), segs, fixes)
 
 
 def driven_intervals(spark: SparkSession, d: str) -> DataFrame:
-    near, segs = _candidates(spark, d)
-    near = matching.subtracks(near).withColumn("oneway", F.lit(0))
-    return matching.driven_intervals(matching.viterbi_steps(near, segs), near)
+    fixes, near, segs, v = _matching(spark, d)
+    near = matching.subtracks(near, fixes)
+    return matching.driven_intervals(matching.viterbi_steps(near, segs, fixes), near, fixes, v)
+
+
+def result_counters(spark: SparkSession, d: str) -> DataFrame:
+    fixes, near, segs, _ = _matching(spark, d)
+    return matching.result_counters(matching.viterbi_steps(matching.subtracks(near, fixes), segs, fixes), fixes)
 
 
 def ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +111,7 @@ def geojson_features(spark: SparkSession, d: str) -> DataFrame:
     return v.select("way_id", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.transform("v", lambda p: F.array(F.round(p["lon"], 6), F.round(p["lat"], 6))).alias("coordinates")).alias("geometry"))).alias("feature"))
 
 
-_DATAFRAME = [coverage_by_region, interval_union, way_length_centroid, point_in_region, trip_distance, gap_split_sessions, heading, emission_logprob, segments_explode, candidates_topk, low_confidence_drop, viterbi_steps, driven_intervals, ingest_outcomes, geojson_features]
+_DATAFRAME = [coverage_by_region, interval_union, way_length_centroid, point_in_region, trip_distance, gap_split_sessions, emission_logprob, segments_explode, candidates_topk, low_confidence_drop, viterbi_steps, driven_intervals, result_counters, ingest_outcomes, geojson_features]
 
 _WAYS = f"""l AS (SELECT *, lag(lat) OVER (PARTITION BY way_id ORDER BY i) AS plat, lag(lon) OVER (PARTITION BY way_id ORDER BY i) AS plon FROM d_vertices),
  w AS (SELECT way_id, sum({_HAV}) AS len, avg(lat) AS clat, avg(lon) AS clon FROM (SELECT way_id, lat, lon, {_A} AS a FROM l) h GROUP BY way_id),
@@ -117,6 +124,11 @@ _UNION = """m AS (SELECT *, max(end_m) OVER (PARTITION BY way_id ORDER BY start_
 _STEP = f"s AS (SELECT *, {_HAV} AS d FROM (SELECT *, {_A} AS a FROM ({_LAG}) q) r)"
 _SEG = """g AS (SELECT way_id, i AS seg_idx, node_id AS a_node, lead(node_id) OVER (PARTITION BY way_id ORDER BY i) AS b_node, lat AS alat, lon AS alon, lead(lat) OVER (PARTITION BY way_id ORDER BY i) AS blat, lead(lon) OVER (PARTITION BY way_id ORDER BY i) AS blon FROM d_vertices),
  h AS (SELECT *, sqrt(power((blon-alon)*111320*cos(radians(alat)),2)+power((blat-alat)*111320,2)) AS seg_len FROM g WHERE b_node IS NOT NULL)"""
+_CAND = f"""f AS ({_WALK}), rd AS ({_ROADS}), c AS (SELECT f.*, h.way_id, h.seg_idx, rd.highway, (f.lon-alon)*111320*cos(radians(alat)) AS px, (f.lat-alat)*111320 AS py, (blon-alon)*111320*cos(radians(alat)) AS bx, (blat-alat)*111320 AS bq
+ FROM f JOIN h ON f.lat BETWEEN least(alat,blat)-0.002 AND greatest(alat,blat)+0.002 AND f.lon BETWEEN least(alon,blon)-0.003 AND greatest(alon,blon)+0.003 JOIN rd ON rd.way_id=h.way_id),
+ t AS (SELECT *, greatest(0,least(1,(px*bx+py*bq)/(bx*bx+bq*bq))) AS k FROM c), e AS (SELECT *, sqrt(power(px-k*bx,2)+power(py-k*bq,2)) AS dist FROM t),
+ r AS (SELECT *, row_number() OVER (PARTITION BY trip_id, seq ORDER BY round(dist,6), way_id, seg_idx) AS cand_rank FROM e WHERE dist<=least(150,greatest(25,25+acc/2))),
+ n AS (SELECT *, -0.5*power(dist/greatest(4.07,acc/2),2)-ln(greatest(4.07,acc/2)*2.5066282746310002)-CASE WHEN speed_kmh<15 AND highway IN ('motorway','trunk_link') THEN ln(1e6) ELSE 0 END AS emit FROM r WHERE cand_rank<=5)"""
 _ORACLES = {
     "coverage_by_region": f"""WITH {_WAYS}, {_UNION}, dr AS (SELECT way_id, sum(end_m-start_m) AS d FROM u GROUP BY way_id)
  SELECT a.level, a.region_id, count(*) AS n_ways, round(sum(coalesce(d,0)),2) AS driven_m, round(sum(len),2) AS total_m, round(least(greatest(sum(coalesce(d,0))/sum(len)*100,0),100),4) AS pct
@@ -126,15 +138,11 @@ _ORACLES = {
     "point_in_region": f"WITH {_WAYS} SELECT level, region_id, count(*) AS n FROM att GROUP BY 1, 2",
     "trip_distance": f"WITH {_STEP} SELECT trip_id, round(sum(d),1) AS distance_m, max(speed_kmh) AS max_speed, count(*) AS n FROM s GROUP BY trip_id",
     "gap_split_sessions": f"WITH {_STEP}, t AS (SELECT *, sum(CASE WHEN ts-pts>INTERVAL 5 MINUTE AND d>500 THEN 1 ELSE 0 END) OVER (PARTITION BY trip_id ORDER BY seq) AS session FROM s) SELECT trip_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(seq) AS first_seq FROM t GROUP BY 1, 2",
-    "heading": f"""WITH {_STEP}, b AS (SELECT *, degrees(atan2(sin(radians(lon-plon))*cos(radians(lat)), cos(radians(plat))*sin(radians(lat))-sin(radians(plat))*cos(radians(lat))*cos(radians(lon-plon)))) AS g FROM s)
- SELECT trip_id, seq, CASE WHEN d>5 THEN round(CASE WHEN g<0 THEN g+360 ELSE g END,3) END AS heading FROM b""",
     "emission_logprob": "SELECT trip_id, seq, round(-0.5*power(speed_kmh/4/greatest(4.07,acc/2),2)-ln(greatest(4.07,acc/2)*2.5066282746310002),6) AS emit FROM d_fixes",
     "segments_explode": f"WITH {_SEG} SELECT way_id, seg_idx, a_node, b_node, round(seg_len,3) AS seg_len, round(coalesce(sum(seg_len) OVER (PARTITION BY way_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0),3) AS from_m FROM h",
-    "candidates_topk": f"""WITH {_SEG}, f AS ({_WALK}), c AS (SELECT f.*, h.way_id, h.seg_idx, (f.lon-alon)*111320*cos(radians(alat)) AS px, (f.lat-alat)*111320 AS py, (blon-alon)*111320*cos(radians(alat)) AS bx, (blat-alat)*111320 AS bq
- FROM f JOIN h ON f.lat BETWEEN least(alat,blat)-0.002 AND greatest(alat,blat)+0.002 AND f.lon BETWEEN least(alon,blon)-0.003 AND greatest(alon,blon)+0.003),
- t AS (SELECT *, greatest(0,least(1,(px*bx+py*bq)/(bx*bx+bq*bq))) AS k FROM c), e AS (SELECT *, sqrt(power(px-k*bx,2)+power(py-k*bq,2)) AS dist FROM t),
- r AS (SELECT *, row_number() OVER (PARTITION BY trip_id, seq ORDER BY dist, way_id, seg_idx) AS cand_rank FROM e WHERE dist<=least(150,greatest(25,25+acc/2)))
- SELECT trip_id, seq, cand_rank, way_id, round(dist,3) AS dist FROM r WHERE cand_rank<=5""",
+    "candidates_topk": f"WITH {_SEG}, {_CAND} SELECT trip_id, seq, cand_rank, way_id, round(dist,3) AS dist, round(emit,4) AS emit FROM n",
+    "low_confidence_drop": f"""WITH {_SEG}, {_CAND}, b AS (SELECT f.trip_id, f.seq, coalesce(max(emit)>=ln(0.001), FALSE) AS ok FROM f LEFT JOIN n ON n.trip_id=f.trip_id AND n.seq=f.seq GROUP BY 1, 2),
+ o AS (SELECT *, CASE WHEN ok AND (NOT coalesce(lag(ok) OVER w, FALSE) OR (seq-lag(seq) OVER w)*5>60) THEN 1 ELSE 0 END AS new FROM b WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) SELECT trip_id, count(*) FILTER (ok) AS n_fixes, sum(new) AS n_tracks FROM o GROUP BY trip_id HAVING count(*) FILTER (ok)>0""",
 }
 
 
@@ -149,8 +157,8 @@ def _sql(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _DATAFRAME} | {name: _sql(name) for name in SQL}
+    return {f.__name__: f for f in _DATAFRAME} | {name: _sql(name) for name in SQL} | domain.FOUND
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: oracle(v) for k, v in _ORACLES.items()} | {k: oracle(v) for k, (_, v) in SQL.items()}
+    return {k: oracle(v) for k, v in _ORACLES.items()} | {k: oracle(v) for k, (_, v) in SQL.items()} | {k: oracle(v) for k, v in domain.ORACLES.items()}

@@ -14,19 +14,11 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "adaptive_radius": (("d_fixes",), "SELECT trip_id, seq, CASE WHEN acc>0 THEN least(CAST(150 AS DOUBLE), greatest(CAST(25 AS DOUBLE), 25+acc/2)) ELSE CAST(25 AS DOUBLE) END AS radius FROM d_fixes"),
     "surrogate_node_key": (("d_vertices",), "SELECT way_id, i, -abs(CAST(round(lat*1000000) AS BIGINT)*1000000007+CAST(round(lon*1000000) AS BIGINT))-1 AS node_key FROM d_vertices"),
     "junction_sharing": (("d_vertices",), "SELECT node_id, count(DISTINCT way_id) AS n_ways FROM d_vertices WHERE i IN (0, 3) GROUP BY node_id HAVING count(DISTINCT way_id)>1"),
-    "first_tile_dedupe": (("d_intervals",), "SELECT way_id, trip_id, start_m, end_m FROM (SELECT *, row_number() OVER (PARTITION BY way_id ORDER BY trip_id, start_m, end_m) AS k FROM d_intervals) q WHERE k=1"),
-    "kfz_allowlist": (("part",), "SELECT p_partkey AS way_id, CASE p_size%16 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk' WHEN 2 THEN 'primary' WHEN 3 THEN 'residential' WHEN 4 THEN 'service' ELSE 'track' END AS highway FROM part WHERE p_size%16 IN (0, 1, 2, 3)"),
     "oneway_normalise": (("part",), """SELECT way_id, tag, class, CASE WHEN tag IN ('yes','true','1') THEN 'forward' WHEN tag IN ('-1','reverse') THEN 'backward' WHEN tag IN ('no','false','0') THEN 'no' WHEN class IN ('motorway','motorway_link','trunk_link') THEN 'forward' ELSE 'no' END AS oneway
  FROM (SELECT p_partkey AS way_id, CASE p_size%7 WHEN 0 THEN 'yes' WHEN 1 THEN '-1' WHEN 2 THEN 'no' WHEN 3 THEN 'reverse' WHEN 4 THEN '1' WHEN 5 THEN '0' ELSE '' END AS tag, CASE p_partkey%3 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk_link' ELSE 'primary' END AS class FROM part) t"""),
-    "maxspeed_parse": (("part",), """SELECT way_id, tag, CASE WHEN m='' THEN NULL WHEN lower(tag) LIKE '%mph%' THEN CAST(round(CAST(m AS DOUBLE)*1.609344) AS BIGINT) ELSE CAST(m AS BIGINT) END AS kmh
- FROM (SELECT way_id, tag, regexp_extract(lower(trim(tag)), '^([0-9]+)', 1) AS m FROM (SELECT p_partkey AS way_id, concat(CASE p_size%5 WHEN 0 THEN '' WHEN 1 THEN 'none ' ELSE CAST(p_size*2 AS VARCHAR(9)) END, CASE p_partkey%4 WHEN 0 THEN ' mph' WHEN 1 THEN ' km/h' WHEN 2 THEN ' knots' ELSE '' END) AS tag FROM part) t) u"""),
-    "union_bbox": (("d_fixes", "d_trips"), "SELECT min(f.lat) AS min_lat, min(f.lon) AS min_lon, max(f.lat) AS max_lat, max(f.lon) AS max_lon FROM d_fixes f WHERE EXISTS (SELECT 1 FROM d_trips t WHERE t.trip_id=f.trip_id AND t.status IN ('matched','confirmed'))"),
     "inflight_count": (("d_trips",), "SELECT count(*) AS n FROM d_trips WHERE status='pending'"),
     "inbox_list": (("d_trips", "d_intervals"), "SELECT t.trip_id, t.started_at, t.distance_m, coalesce(i.n, 0) AS interval_count, coalesce(i.n, 0)=0 AS fail_matched FROM d_trips t LEFT JOIN (SELECT trip_id, count(*) AS n FROM d_intervals GROUP BY trip_id) i ON i.trip_id=t.trip_id WHERE t.status='matched'"),
     "history_list": (("d_trips", "d_intervals"), "SELECT t.trip_id, t.status, t.status='pending' AS in_flight, coalesce(i.n, 0) AS interval_count FROM d_trips t LEFT JOIN (SELECT trip_id, count(*) AS n FROM d_intervals GROUP BY trip_id) i ON i.trip_id=t.trip_id WHERE t.status IN ('matched','confirmed','pending')"),
-    "status_transition": (("d_trips",), "SELECT status AS was, CASE WHEN status='pending' THEN 'matched' WHEN status='matched' THEN 'confirmed' ELSE status END AS becomes, count(*) AS n FROM d_trips GROUP BY 1, 2"),
-    "retention_sweep": (("d_intervals",), "SELECT trip_id, max(matched_at) AS last_matched FROM d_intervals GROUP BY trip_id HAVING max(matched_at)<TIMESTAMP '1998-01-01 00:00:00'"),
-    "orphan_reconcile": (("d_trips", "d_intervals"), "SELECT t.trip_id, t.status FROM d_trips t WHERE t.status<>'matched' AND NOT EXISTS (SELECT 1 FROM d_intervals i WHERE i.trip_id=t.trip_id AND i.start_m>=50)"),
     "cascade_delete": (("d_trips", "d_intervals"), "SELECT i.way_id, i.trip_id, i.start_m, i.end_m FROM d_intervals i WHERE NOT EXISTS (SELECT 1 FROM d_trips t WHERE t.trip_id=i.trip_id AND t.status='pending')"),
     "set_null_delete": (("d_trips", "d_intervals"), "SELECT i.way_id, t.trip_id, i.start_m, i.end_m FROM d_intervals i LEFT JOIN (SELECT trip_id FROM d_trips WHERE status<>'pending') t ON t.trip_id=i.trip_id"),
     "distinct_trips": (("d_intervals",), "SELECT DISTINCT trip_id FROM d_intervals WHERE trip_id IS NOT NULL"),
@@ -34,20 +26,4 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
  w AS (SELECT way_id, sum({_HAV}) AS len FROM (SELECT way_id, {_A} AS a FROM l) h GROUP BY way_id),
  m AS (SELECT trip_id, way_id, sum(abs(end_m-start_m)) AS d FROM d_intervals GROUP BY trip_id, way_id)
  SELECT m.trip_id, count(*) AS n_ways, round(least(greatest(sum(d)/sum(len),0),1),6) AS fraction FROM m JOIN w ON w.way_id=m.way_id GROUP BY m.trip_id"""),
-    "ttl_filter": (("events",), "SELECT event_type, count(*) AS n FROM events WHERE ts>=(SELECT max(ts) FROM events)-INTERVAL 30 DAY GROUP BY event_type"),
-    "lru_evict": (("part",), """SELECT p_partkey AS tile, p_size AS bytes FROM (SELECT *, sum(p_size) OVER (PARTITION BY p_partkey%16) AS total, coalesce(sum(p_size) OVER (PARTITION BY p_partkey%16 ORDER BY p_retailprice, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM part) q WHERE total>500 AND total-prior>400"""),
-    "fetch_queue_due": (("orders",), """SELECT trip_id, attempts, wait_minutes FROM (SELECT o_orderkey AS trip_id, o_orderkey%7 AS attempts, o_orderkey%2000 AS age_minutes, CASE o_orderkey%7 WHEN 0 THEN 0 WHEN 1 THEN 5 WHEN 2 THEN 30 WHEN 3 THEN 120 WHEN 4 THEN 720 ELSE 1440 END AS wait_minutes FROM orders) q WHERE attempts<5 AND age_minutes>=wait_minutes"""),
-    "upsert_merge": (("customer", "supplier"), "SELECT coalesce(c.c_custkey, s.s_suppkey) AS region_id, coalesce(s.s_acctbal, c.c_acctbal) AS driven_m, c.c_name AS kept_name FROM customer c FULL OUTER JOIN supplier s ON c.c_custkey=s.s_suppkey*2"),
-    "tile_set_except": (("d_fixes",), "SELECT DISTINCT floor(lat*1000) AS cy, floor(lon*1000) AS cx FROM d_fixes WHERE trip_id%2=0 EXCEPT SELECT floor(lat*1000), floor(lon*1000) FROM d_fixes WHERE trip_id%2=1"),
-    "tile_set_intersect": (("d_fixes",), "SELECT floor(lat*100) AS cy, floor(lon*100) AS cx FROM d_fixes WHERE trip_id%2=0 INTERSECT SELECT floor(lat*100), floor(lon*100) FROM d_fixes WHERE trip_id%2=1"),
-    "p90_frame": (("events",), "SELECT event_type, max(CASE WHEN k=floor(n*9/10)+1 THEN value END) AS p90 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) q GROUP BY event_type"),
-    "hit_rate": (("events",), "SELECT user_id, CASE WHEN count(*)=0 THEN NULL ELSE CAST(sum(CASE WHEN value<50 THEN 1 ELSE 0 END) AS DOUBLE)/count(*) END AS rate FROM events GROUP BY user_id"),
-    "zoom_level": (("part",), "SELECT p_partkey AS id, CASE WHEN p_size%20<6 THEN 2 WHEN p_size%20<9 THEN 4 WHEN p_size%20<11 THEN 6 WHEN p_size%20<13 THEN 8 WHEN p_size%20<15 THEN 9 ELSE 10 END AS level FROM part"),
-    "region_search_rank": (("nation",), "SELECT n_nationkey AS region_id, n_name, CASE WHEN lower(n_name) LIKE 'nation_1%' THEN 0 ELSE 1 END AS search_rank FROM nation WHERE lower(n_name) LIKE '%1%'"),
-    "query_text": (("nation",), "SELECT n_nationkey AS id, concat('area(', CAST(3600000000+n_nationkey AS VARCHAR(20)), ')->.a;way(area.a)[highway];out;') AS ql FROM nation"),
-    "response_class": (("events",), "SELECT event_id, CASE WHEN lower(body) LIKE '%out of memory%' THEN 'memory' WHEN lower(body) LIKE '%rate_limited%' OR lower(body) LIKE '%timed out%' THEN 'transient' ELSE 'ok' END AS class FROM (SELECT event_id, CASE event_id%4 WHEN 0 THEN 'runtime error: Query timed out' WHEN 1 THEN 'Out of memory' WHEN 2 THEN 'rate_limited' ELSE props END AS body FROM events) q"),
-    "result_counters": (("d_fixes",), "SELECT trip_id, count(*) AS n, sum(CASE WHEN acc<=25 THEN 1 ELSE 0 END) AS matched, sum(CASE WHEN acc<=25 THEN 0 ELSE 1 END) AS dropped FROM d_fixes GROUP BY trip_id"),
-    "way_coverage_class": (("d_intervals", "d_vertices"), """WITH m AS (SELECT way_id, sum(end_m-start_m) AS d FROM d_intervals GROUP BY way_id), w AS (SELECT way_id, CAST(max(i)*150 AS DOUBLE) AS len FROM d_vertices GROUP BY way_id)
- SELECT w.way_id, CASE WHEN coalesce(d,0)>=(CASE WHEN len<=30 THEN 0.8*len ELSE len-30 END) THEN 'full' WHEN coalesce(d,0)<greatest(least(50,len),0.05*len) THEN 'undriven' ELSE 'partial' END AS class FROM w LEFT JOIN m ON m.way_id=w.way_id"""),
-    "affected_regions": (("d_intervals", "d_region_edges"), "SELECT level, count(DISTINCT region_id) AS n FROM d_region_edges WHERE region_id%3=0 GROUP BY level"),
 }
