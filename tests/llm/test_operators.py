@@ -286,19 +286,70 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(t) == base_by_pattern(t), t
 
 
-def test_tagger_and_query(spark, docs, empty):
+def test_tagger_finds_what_patterns_do_not():
+    """Recall of the labelled spans that no pattern finds; zero without the tagger. Few others are added."""
     tagger = pii.default_tagger()
-    hit = total = 0
-    for text, spans in pii.labelled_lines(150, 77):
-        found = pii.window_spans(tagger, [(0, s, pii.codes(text)[s : s + pii.WINDOW]) for s in pii.window_starts(text)]).get(0, [])
-        got = pii.reconcile(text, pii.base_spans(text), found)
-        assert set(pii.base_spans(text)) <= set(got)
-        hit, total = hit + len(set(spans) & set(got)), total + len(spans)
-    assert hit / total > 0.6
-    d = spark.createDataFrame([(1, "write to ann.b@mail.example.com or 10.0.0.1", "x"), (2, None, "y"), (3, "clean", "z")], "doc_id long, text string, n_email string")
+    lines = labelled = pii.labelled_lines(150, 77)
+    hit = total = wrong = 0
+    for (text, spans), found in zip(lines, pii.tag_texts(tagger, [t for t, _ in labelled]), strict=True):
+        base = pii.base_spans(text)
+        got = pii.reconcile(text, base, found, tagger.margin)
+        assert set(base) <= set(got)
+        more = set(spans) - set(base)
+        hit, total, wrong = hit + len(more & set(got)), total + len(more), wrong + len(set(got) - set(base) - set(spans))
+    assert total > 100 and hit / total > 0.7 and wrong < 0.1 * hit
+
+
+def test_spans_of_any_length_and_place():
+    """A stub that marks digits: spans longer than windows, at window borders and at a text's end come out whole."""
+    class Stub(pii.Tagger):
+        def read(self, x):
+            digit = np.isin(x, [pii._CODE[c] for c in "0123456789"])
+            em = np.zeros((*x.shape, pii._TAGS), np.float32)
+            em[..., 0], em[..., 2] = np.where(digit, 0, 50), np.where(digit, 20, 0)
+            return em
+
+    stub = Stub()
+    texts = ["a" * k + "5" * n + "b" * m for k in (0, 1, 170, 191, 192) for n in (3, 64, 500) for m in (0, 1, 200)]
+    for t, found in zip(texts, pii.tag_texts(stub, texts), strict=True):
+        assert [(f[2], f[3]) for f in found] == [(t.index("5"), t.rindex("5") + 1)]
+
+
+def test_decoding_and_gradients_by_brute_force():
+    from itertools import product
+
+    r = np.random.default_rng(4)
+    tagger = pii.Tagger()
+    tagger.p["t"] = r.standard_normal((pii._TAGS, pii._TAGS)).astype(np.float32)
+    em = r.standard_normal((4, 2, pii._TAGS)).astype(np.float32)
+    tags = tagger.decode(em)
+    total = lambda n, path: sum(em[i, n, k] for i, k in enumerate(path)) + sum(tagger.p["t"][a, b] for a, b in zip(path, path[1:]))
+    paths = list(product(range(pii._TAGS), repeat=4))
+    for n in range(2):
+        assert tuple(tags[n]) == max(paths, key=lambda p: total(n, p))
+    y = r.integers(0, pii._TAGS, (2, 4))
+    loss = lambda: np.mean([np.log(sum(np.exp(total(n, p)) for p in paths)) - total(n, y[n]) for n in range(2)])
+    ge, gt = tagger._crf(em.transpose(1, 0, 2).astype(float), y)
+    for where in ((1, 0, 3), (2, 1, 5)):
+        em = em.astype(float)
+        em[where] += 1e-3
+        up = loss()
+        em[where] -= 2e-3
+        assert (up - loss()) / 2e-3 == pytest.approx(ge[where[1], where[0], where[2]], abs=1e-3)
+        em[where] += 1e-3
+    before = loss()
+    tagger.p["t"] = tagger.p["t"].astype(float)
+    tagger.p["t"][2, 3] += 1e-3
+    assert (loss() - before) / 1e-3 == pytest.approx(gt[2, 3], abs=1e-3)
+    assert np.allclose(tagger.read(np.arange(40).reshape(20, 2)), tagger.emissions(np.arange(40).reshape(20, 2).T).transpose(1, 0, 2), atol=1e-4)
+
+
+def test_personal_data(spark, docs, empty):
+    d = spark.createDataFrame([(1, "write to ann.b@mail.example.com or 10.0.0.1", "x"), (2, None, "y"), (3, "clean words and no more of it", "z"), (4, 'here is token = "0123456789abcdef0123456789abcdef01234567" and', "s")], "doc_id long, text string, n_email string")
     out = {r.doc_id: r for r in pii.find_personal_data(d).collect()}
     assert out[1].spans == "email:9:31,ip:35:43" and out[1].n_email == out[1].n_ip == 1
     assert out[1].base_sha256 == hashlib.sha256(out[1].spans.encode()).hexdigest() and out[2].spans == out[3].spans == ""
+    assert out[4].n_secret == 1 and out[4].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert pii.find_personal_data(docs).count() == docs.count() and pii.find_personal_data(empty).count() == 0
 
 
