@@ -233,7 +233,11 @@ class Image:
         if not self.comps or not self.width or not self.height:
             raise ValueError("no progressive frame")
         self.hmax, self.vmax = max(c[1] for c in self.comps), max(c[2] for c in self.comps)
+        if not self.hmax or not self.vmax:
+            raise ValueError("no sampling factors")
         self.mcu_w, self.mcu_h = -(-self.width // (8 * self.hmax)), -(-self.height // (8 * self.vmax))
+        if self.mcu_w * self.mcu_h > 8 * len(data):  # each unit has a bit of its own at least, so a frame is bounded by its data before it is allocated
+            raise ValueError("frame larger than its data")
 
     def grid(self, c: int) -> tuple[int, int]:
         """Blocks down and across of a component, with those that only fill up the last units."""
@@ -338,7 +342,7 @@ def decode_column(media: DataFrame, column: str = "media") -> DataFrame:
                 try:
                     im = Image(v.as_py() or b"")
                     got.append(rgb([im], *coefficients([im]))[0])
-                except (ValueError, IndexError, KeyError):
+                except Exception:  # noqa: BLE001  whatever is wrong with an image, the job goes on
                     got.append(None)
             size = [pa.array([None if g is None else g.shape[i] for g in got], pa.int32()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*b.columns, *size, pa.array([None if g is None else g.tobytes() for g in got], pa.binary())], names)
