@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -388,8 +389,16 @@ def test_decoder_refines_new_coefficients_and_end_runs():
 
 def test_media_column(spark):
     good = progressive_jpeg.store([np.arange(128, dtype=np.uint8)])[0]
-    d = spark.createDataFrame([(1, good), (2, None), (3, b"junk")], "id long, media binary")
+    r = np.random.default_rng(5)
+    bad = [bytearray(good) for _ in range(60)]
+    for b in bad:  # damage anywhere, frames of any size and components that aren't there among it
+        for _ in range(4):
+            b[r.integers(2, len(b))] = r.integers(0, 256)
+    frame = good.index(b"\xff\xc2")
+    bad.append(bytearray(good[: frame + 5] + b"\xff\xff\xff\xff" + good[frame + 9 :]))
+    d = spark.createDataFrame([(1, good), (2, None), (3, b"junk"), *((10 + i, bytes(b)) for i, b in enumerate(bad))], "id long, media binary")
     out = {r.id: r for r in progressive_jpeg.decode_column(d).collect()}
+    assert len(out) == 3 + len(bad) and out[10 + len(bad) - 1].rgb is None
     assert (out[1].height, out[1].width) == (16, 16) and len(out[1].rgb) == 768 and out[2].rgb is None and out[3].rgb is None
 
 
@@ -425,6 +434,30 @@ def test_embedding_dedup_equals_brute_force(spark):
     assert embedding_dedup.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_windows_hand_on_a_spanning_forest():
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        i, j = r.integers(0, 50, (2, 30))
+        parent = {k: k for k in range(50)}
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            union(parent, a, b)
+        assert embedding_dedup._joined(50, i, j).tolist() == [find(parent, k) for k in range(50)]
+
+
+def test_embedding_recall_at_the_threshold(spark):
+    """Pairs of cosine 0.93 to 0.95 among unrelated vectors."""
+    r = np.random.default_rng(12)
+    rows = []
+    for k in range(400):
+        x, y = r.standard_normal((2, 24))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        c = r.uniform(0.931, 0.95)
+        rows += [(2 * k, x.tolist(), 1, ""), (2 * k + 1, (c * x + math.sqrt(1 - c * c) * y / np.linalg.norm(y)).tolist(), 1, "")]
+    got = {x.vec_id: x.component_id for x in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links string")).collect()}
+    assert np.mean([got[2 * k] == got[2 * k + 1] for k in range(400)]) >= 0.9
+
+
 def test_quality(spark, empty):
     r = random.Random(9)
     rows, labels = [], []

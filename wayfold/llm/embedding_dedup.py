@@ -2,9 +2,11 @@
 
 Each pass hashes every vector to a row of bits (signs of seeded random projections) and sorts the vectors of all labels
 by (label, bits) over range partitions. Each vector is compared exactly with the WINDOW next ones; windows go on over
-partition borders. Pairs with a cosine of at least the threshold, in double precision, are links; passes are united by
-distributed union-find. The number of passes follows from the largest label's size, so that a pair at the threshold
-is found with probability RECALL: longer sorted runs need more leading bits to agree.
+partition borders. Pairs with a cosine of at least the threshold, in double precision, are links; a task hands on a
+spanning forest of the links it finds, and passes are united by distributed union-find. The number of passes follows from the largest label's size, so that a pair at the threshold
+is found with probability RECALL: longer sorted runs need more leading bits to agree. That takes bits to be evenly spread;
+in a dense clump of loosely similar vectors (say a third of a label at mutual cosine 0.85) the recall is lower. Passes grow
+with the 0.18th power of the largest label.
 
 Windows bound what one pass compares. For groups with more members than a window holds, the pairs inside each component
 are then compared whole, block against block, so that links are counted exactly however large the component is: blocks
@@ -79,11 +81,24 @@ def _close(ids: np.ndarray, labels: np.ndarray, rows: list, threshold: float, cr
     return out_a, out_b
 
 
+def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """By row: the first row of its component under the pairs."""
+    root = np.arange(n)
+    while True:
+        least, new = np.minimum(root[i], root[j]), root.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 _PAIRS = "edge int, side int, at long, a long, b long, label int, embedding array<double>"
 
 
 def _windows(threshold: float):
-    """Sorted partition -> pairs inside it, and its first and last WINDOW rows (edge: the border's number)."""
+    """Sorted partition -> what links its rows, one row for each (to the first of its component, not all pairs), and its first and last WINDOW rows (edge: the border's number)."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -109,8 +124,9 @@ def _windows(threshold: float):
                     a.append(u[ok])
                     b.append(v[ok])
             if a:
-                ids, i, j = both.vec_id.to_numpy(), np.concatenate(a), np.concatenate(b)
-                yield pd.DataFrame({"edge": -1, "side": 0, "at": 0, "a": ids[i], "b": ids[j], "label": None, "embedding": None}).astype({"label": "Int32"})
+                ids, root = both.vec_id.to_numpy(), _joined(len(both), np.concatenate(a), np.concatenate(b))
+                i = np.flatnonzero(root != np.arange(len(both)))
+                yield pd.DataFrame({"edge": -1, "side": 0, "at": 0, "a": ids[i], "b": ids[root[i]], "label": None, "embedding": None}).astype({"label": "Int32"})
             held, seen = both.iloc[-WINDOW:], seen + fresh
         if held is not None:
             yield border(held, part + 1, 0, 0)
