@@ -224,6 +224,33 @@ def test_packing_round_trip(docs, empty):
     assert packing.pack_documents(empty, **queries.byte_bpe()).count() == 0
 
 
+def test_texts_that_the_fast_encoder_refuses():
+    from tokenizers import Tokenizer
+
+    p = queries.byte_bpe()
+    encode = packing.encoder(p["ranks_path"], p["pattern"], p["specials"], p["exact_path"])
+    for t in (" " * 1_000_000, "a" + "\n" * 1_000_000 + "b"):
+        assert encode(t).tolist() == Tokenizer.from_file(p["exact_path"]).encode(t, add_special_tokens=False).ids
+
+
+def test_windows_hold_lexical_neighbours_and_little_padding(spark):
+    """Documents of 60 topics with words of their own, in shards far smaller than the corpus."""
+    r = random.Random(8)
+    own = [[sentence(r, 1) + str(k) + sentence(r, 1) for _ in range(40)] for k in range(60)]
+    rows = [(i, " ".join(r.choice(own[i % 60]) if r.random() < 0.3 else sentence(r, 1) for _ in range(70))) for i in range(1800)]
+    r.shuffle(rows)
+    old, packing.SHARD = packing.SHARD, 200
+    try:
+        out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), **queries.byte_bpe()).toPandas()
+    finally:
+        packing.SHARD = old
+    out["topic"] = out.doc_id % 60
+    share = out.groupby("sequence_id").topic.agg(lambda v: v.value_counts().iloc[0] / len(v))
+    assert share.mean() > 0.5
+    full = out.groupby("sequence_id").length.sum()
+    assert (full >= 2048 - packing.UNIT).mean() > 0.85
+
+
 def test_checksums_of_parts():
     d = np.random.default_rng(1).integers(0, 256, 5000).astype(np.uint8).tobytes()
     for cut in (0, 1, 64, 4999):

@@ -73,7 +73,7 @@ def byte_bpe() -> dict:
     """The byte-level vocabulary as pack_documents takes it; the special string is one id, as in the vocabulary's library."""
     import public_tokenizers as p
 
-    return {"ranks_path": p.path("byte_bpe_50k.tiktoken"), "pattern": p.PATTERN, "specials": {"<|endoftext|>": 50256}}
+    return {"ranks_path": p.path("byte_bpe_50k.tiktoken"), "pattern": p.PATTERN, "specials": {"<|endoftext|>": 50256}, "exact_path": p.path("byte_bpe_50k.json")}
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
