@@ -10,6 +10,7 @@ PATH = "array<array<array<double>>>"
 
 
 def one_decimal(value: Column) -> Column:
+    """With one decimal and a comma; a tie of the decimal digits goes up."""
     return F.replace(F.format_string("%.1f", value), F.lit("."), F.lit(","))
 
 
@@ -25,7 +26,7 @@ def percent(value: Column) -> Column:
 
 def km(value: Column) -> Column:
     """Below 1000 with one decimal, from there on whole with dots between thousands."""
-    whole = F.regexp_replace(F.round(value).cast("long").cast("string"), r"\B(?=(\d{3})+(?!\d))", ".")
+    whole = F.replace(F.format_number(F.round(value), 0), F.lit(","), F.lit("."))
     return F.when(value < 1000, one_decimal(value)).otherwise(whole)
 
 

@@ -254,13 +254,13 @@ def live_trails(spark: SparkSession, d: str) -> DataFrame:
 # -- texts and reports -------------------------------------------------------------------------------------------------
 
 
-@query("""WITH t AS (SELECT o_orderkey AS trip_id, o_totalprice AS m, o_orderkey%90000 AS s, o_orderdate AS ts FROM orders), k AS (SELECT *, CAST(m<1000 AS INTEGER) AS near, CAST(round(m/1000) AS BIGINT) AS w FROM t)
+@query("""WITH t AS (SELECT o_orderkey AS trip_id, o_totalprice+0.003 AS m, o_orderkey%90000 AS s, o_orderdate AS ts FROM orders), k AS (SELECT *, CAST(m<1000 AS INTEGER) AS near, CAST(round(m/1000) AS BIGINT) AS w FROM t)
  SELECT trip_id, concat(replace(printf('%.1f', (s%1000)/10.0), '.', ','), ' %') AS percent, CASE WHEN near=1 THEN concat(CAST(CAST(round(m) AS BIGINT) AS VARCHAR), ' m') WHEN m/1000<1000 THEN concat(replace(printf('%.1f', m/1000), '.', ','), ' km') ELSE concat(CAST(w//1000 AS VARCHAR), '.', lpad(CAST(w%1000 AS VARCHAR), 3, '0'), ' km') END AS distance,
  CASE WHEN s//60<60 THEN concat(CAST(s//60 AS VARCHAR), ' min') ELSE concat(CAST(s//3600 AS VARCHAR), ' h ', CAST(s//60%60 AS VARCHAR), ' min') END AS duration, concat(CASE WHEN s>=3600 THEN concat(CAST(s//3600 AS VARCHAR), ':') ELSE '' END, lpad(CAST(s//60%60 AS VARCHAR), 2, '0'), ':', lpad(CAST(s%60 AS VARCHAR), 2, '0')) AS clock,
  strftime(ts, '%d.%m.%Y, %H:%M') AS date, CASE WHEN s<=0 THEN '—' ELSE concat(CAST(CAST(round(m/s*3.6) AS BIGINT) AS VARCHAR), ' km/h') END AS speed FROM k""")
 def format_texts(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders")
-    s, m = F.col("o_orderkey") % 90000, F.col("o_totalprice")
+    s, m = F.col("o_orderkey") % 90000, F.col("o_totalprice") + 0.003  # so that no text has to round a tie
     return o.select(F.col("o_orderkey").alias("trip_id"), formats.percent((s % 1000) / 10.0).alias("percent"), formats.distance(m).alias("distance"), formats.duration(s).alias("duration"), formats.clock(s).alias("clock"), formats.date_time(F.col("o_orderdate")).alias("date"), formats.speed(m, s).alias("speed"))
 
 
