@@ -522,7 +522,7 @@ def test_stages(spark, docs):
     assert corpus_pipeline.packing(spark, mixed, "").count() > 0
 
 
-@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+@pytest.mark.parametrize("name", ["op8_mixing"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 

@@ -82,6 +82,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import word_runs
+
+    return word_runs(_table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_duplicates
+
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -99,6 +117,27 @@ _MIX = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_al
  SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, cut - start)) AS BIGINT) AS taken FROM x"""
 
 
+# CRC-32 of each distinct word from its bytes in hex, bit by bit table of 256 entries
+_RESAMPLE = r"""WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS tab FROM range(256) r(i)),
+ d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+ b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+ dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(words) AS w FROM d) GROUP BY ALL),
+ bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(words) AS w FROM b) GROUP BY w),
+ v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+ k AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda c, x: xor(c // 256, tab[CAST(xor(c % 256, x) + 1 AS BIGINT)])), 4294967295) % 10000 AS bucket FROM v, crc),
+ ds AS (SELECT bucket, CAST(sum(n) AS DOUBLE) AS s FROM dw JOIN k USING (w) GROUP BY bucket),
+ bt AS (SELECT bucket, CAST(sum(n) AS DOUBLE) AS t FROM bw JOIN k USING (w) GROUP BY bucket),
+ g AS (SELECT bucket, CAST(floor(1000.0::DOUBLE * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM ds) + 10000) / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM bt) + 10000)))) AS BIGINT) AS gain FROM ds LEFT JOIN bt USING (bucket)),
+ f AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM dw JOIN k USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+ x AS (SELECT doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN f USING (doc_id)),
+ y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM x),
+ z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM y)
+ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= (SELECT count(*) FROM y WHERE n_features >= 20) * 10 // 100 THEN place END AS rank FROM z"""
+
+_EXACT = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Checks for DuckDB; the other operators have no SQL form and are held against brute force in the tests."""
-    return {"op8_mixing": _MIX}
+    return {"op8_mixing": _MIX, "op12_resampling": _RESAMPLE, "op13_exact_dedup": _EXACT}
