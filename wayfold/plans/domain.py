@@ -12,7 +12,7 @@ from ..functions import formats, geo
 from ..operators import coverage, lifecycle, matching, overlay, regions, rings, tiles
 from ..sources import osm, sinks, tables
 from ..sources.views import load
-from ..streaming import ingest, trips
+from ..streaming import trips
 from .relational import _A, _HAV, _LAG
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,27 +149,6 @@ def trip_summary_keeper(spark: SparkSession, d: str) -> DataFrame:
     return trips.summaries(rows).select(F.col("device").alias("trip_id"), "point_count", "duration_s", F.round("distance_m", 1).alias("distance_m"), F.round("avg_kmh", 3).alias("avg_kmh"), F.col("max_kmh"), "keeper")
 
 
-def _outcomes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = load(spark, d, "d_fixes").select(F.col("trip_id").alias("device"), "seq", "ts", "lat", "lon", "acc", (F.col("speed_kmh") / 3.6).alias("speed_mps"), F.lit(None).cast("string").alias("uuid"))
-    return f, ingest.ingest_batch(f)
-
-
-@query()
-def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
-    return trips.counters(_outcomes(spark, d)[1])
-
-
-@query()
-def kept_trips(spark: SparkSession, d: str) -> DataFrame:
-    f, o = _outcomes(spark, d)
-    return trips.trips(trips.summaries(trips.accepted(f.withColumn("ts", F.col("ts").cast("timestamp")), o)))
-
-
-@query()
-def replayed_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return trips.replay(load(spark, d, "d_fixes").withColumn("accuracy_m", F.col("acc")))
-
-
 @query()
 def auto_stops(spark: SparkSession, d: str) -> DataFrame:
     activity = F.when(F.col("seq") % 3 == 0, "in_vehicle").otherwise("still")

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import coverage, matching
 from ..sources.views import load, oracle
-from ..streaming import ingest
-from . import domain, models  # noqa: F401  models adds its queries to domain's
+from . import domain, live, models  # noqa: F401  they add their queries to domain's
 from .relational import _A, _HAV, _LAG, SQL
 
 
@@ -101,17 +100,12 @@ def result_counters(spark: SparkSession, d: str) -> DataFrame:
     return matching.result_counters(matching.viterbi_steps(matching.subtracks(near, fixes), segs, fixes), fixes)
 
 
-def ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    f = load(spark, d, "d_fixes").select(F.col("trip_id").alias("device"), "seq", "ts", "lat", "lon", "acc", (F.col("speed_kmh") / 3.6).alias("speed_mps"), F.lit(None).cast("string").alias("uuid"))
-    return ingest.ingest_batch(f)
-
-
 def geojson_features(spark: SparkSession, d: str) -> DataFrame:
     v = load(spark, d, "d_vertices").groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("i", "lat", "lon"))).alias("v"))
     return v.select("way_id", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.transform("v", lambda p: F.array(F.round(p["lon"], 6), F.round(p["lat"], 6))).alias("coordinates")).alias("geometry"))).alias("feature"))
 
 
-_DATAFRAME = [coverage_by_region, interval_union, way_length_centroid, point_in_region, trip_distance, gap_split_sessions, emission_logprob, segments_explode, candidates_topk, low_confidence_drop, viterbi_steps, driven_intervals, result_counters, ingest_outcomes, geojson_features]
+_DATAFRAME = [coverage_by_region, interval_union, way_length_centroid, point_in_region, trip_distance, gap_split_sessions, emission_logprob, segments_explode, candidates_topk, low_confidence_drop, viterbi_steps, driven_intervals, result_counters, geojson_features]
 
 _WAYS = f"""l AS (SELECT *, lag(lat) OVER (PARTITION BY way_id ORDER BY i) AS plat, lag(lon) OVER (PARTITION BY way_id ORDER BY i) AS plon FROM d_vertices),
  w AS (SELECT way_id, sum({_HAV}) AS len, avg(lat) AS clat, avg(lon) AS clon FROM (SELECT way_id, lat, lon, {_A} AS a FROM l) h GROUP BY way_id),

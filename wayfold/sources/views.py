@@ -19,9 +19,14 @@ VIEWS = {
  CAST(9.0 AS DOUBLE)-0.007+CAST(c0 AS DOUBLE)*0.029+CAST(t AS DOUBLE)*0.001 AS xa, CAST(9.0 AS DOUBLE)-0.007+CAST(c1 AS DOUBLE)*0.029+CAST(t AS DOUBLE)*0.001 AS xb FROM
  (SELECT 1000+n_nationkey AS region_id, 6 AS level, CAST(floor(CAST(n_nationkey AS DOUBLE)/5) AS BIGINT) AS t, n_nationkey%5 AS c0, n_nationkey%5+1 AS c1, n_nationkey AS ord FROM nation
  UNION ALL SELECT 2000+r_regionkey, 4, CAST(r_regionkey AS BIGINT), 0, 5, 100+r_regionkey FROM region) b) k CROSS JOIN (SELECT 0 AS e UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) q""",
+    "d_stream": """SELECT device, seq, k, 1767225600000000+CAST(sum(step) OVER (PARTITION BY device ORDER BY seq) AS BIGINT) AS us, CAST(49.5 AS DOUBLE)+CAST(k*4+sum(jump) OVER (PARTITION BY device ORDER BY seq)*200 AS DOUBLE)/10000 AS lat,
+ CAST(9.0 AS DOUBLE)+CAST(device%50 AS DOUBLE)/100 AS lon, CAST(3+seq%30 AS DOUBLE) AS acc, mps, CASE WHEN seq%5>0 THEN concat('u,', CAST(k-CASE WHEN seq%11=0 THEN 1 ELSE 0 END AS VARCHAR(20))) END AS uuid FROM
+ (SELECT user_id AS device, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE WHEN event_id%26=5 THEN 1 ELSE 0 END AS jump,
+ CASE event_id%13 WHEN 0 THEN 500000 WHEN 1 THEN 900000 WHEN 5 THEN 400000000 WHEN 6 THEN 300000000 ELSE 1000000*(1+event_id%20)+123456 END AS step,
+ CASE WHEN event_id%4=0 THEN NULL WHEN event_id%9=0 THEN CAST(-1 AS DOUBLE) ELSE CAST(value AS DOUBLE) END AS mps FROM events) e""",
     "d_trips": """SELECT o_orderkey AS trip_id, o_custkey AS rider, CASE o_orderstatus WHEN 'F' THEN 'matched' WHEN 'O' THEN 'confirmed' ELSE 'pending' END AS status, o_orderdate AS started_at, o_totalprice AS distance_m FROM orders""",
 }
-_NEEDS = {"d_fixes": ["events"], "d_intervals": ["lineitem"], "d_vertices": ["part"], "d_region_edges": ["nation", "region"], "d_trips": ["orders"]}
+_NEEDS = {"d_fixes": ["events"], "d_stream": ["events"], "d_intervals": ["lineitem"], "d_vertices": ["part"], "d_region_edges": ["nation", "region"], "d_trips": ["orders"]}
 
 
 def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame] | DataFrame:
@@ -42,5 +47,7 @@ def oracle(sql: str) -> str:
     used = [f"{n} AS ({q})" for n, q in VIEWS.items() if n in sql]
     if not used:
         return sql
+    if sql.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(used) + ", " + sql[15:]
     head = "WITH " + ", ".join(used)
     return f"{head}, {sql[5:]}" if sql.startswith("WITH ") else f"{head} {sql}"

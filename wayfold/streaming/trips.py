@@ -11,10 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .ingest import distance, ingest_batch
+from .ingest import KEEP_BOX, KEEP_M, KEEP_S, distance, ingest_batch
 
-#: A trip is kept from this duration (s), length and box diagonal (m) on.
-KEEP_S, KEEP_M, KEEP_BOX = 60, 100.0, 50.0
 #: Seconds of standing before the resume window, of that window, and metres within which a drive goes on.
 DWELL, RESUME, RADIUS = 120.0, 900.0, 500.0
 
