@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import coverage, matching
 from ..sources.views import load, oracle
-from . import domain, live, models  # noqa: F401  they add their queries to domain's
-from .relational import _A, _HAV, _LAG, SQL
+from . import domain, live, models, stores  # noqa: F401  they add their queries to domain's
+from .relational import _A, _HAV, _LAG, SQL, UNION, WAYS
 
 
 def coverage_by_region(spark: SparkSession, d: str) -> DataFrame:
@@ -107,14 +107,6 @@ def geojson_features(spark: SparkSession, d: str) -> DataFrame:
 
 _DATAFRAME = [coverage_by_region, interval_union, way_length_centroid, point_in_region, trip_distance, gap_split_sessions, emission_logprob, segments_explode, candidates_topk, low_confidence_drop, viterbi_steps, driven_intervals, result_counters, geojson_features]
 
-_WAYS = f"""l AS (SELECT *, lag(lat) OVER (PARTITION BY way_id ORDER BY i) AS plat, lag(lon) OVER (PARTITION BY way_id ORDER BY i) AS plon FROM d_vertices),
- w AS (SELECT way_id, sum({_HAV}) AS len, avg(lat) AS clat, avg(lon) AS clon FROM (SELECT way_id, lat, lon, {_A} AS a FROM l) h GROUP BY way_id),
- pip AS (SELECT w.way_id, e.level, e.region_id, e.ord FROM w CROSS JOIN d_region_edges e GROUP BY w.way_id, e.level, e.region_id, e.ord
- HAVING sum(CASE WHEN ((yi>clat) <> (yj>clat)) AND clon < (xj-xi)*(clat-yi)/((yj-yi)+1e-30)+xi THEN 1 ELSE 0 END)%2=1),
- att AS (SELECT way_id, level, min_by(region_id, ord) AS region_id FROM pip GROUP BY way_id, level)"""
-_UNION = """m AS (SELECT *, max(end_m) OVER (PARTITION BY way_id ORDER BY start_m,end_m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM d_intervals),
- g AS (SELECT *, sum(CASE WHEN pe IS NULL OR start_m>pe THEN 1 ELSE 0 END) OVER (PARTITION BY way_id ORDER BY start_m,end_m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM m),
- u AS (SELECT way_id, isl, min(start_m) AS start_m, max(end_m) AS end_m FROM g GROUP BY way_id, isl)"""
 _STEP = f"s AS (SELECT *, {_HAV} AS d FROM (SELECT *, {_A} AS a FROM ({_LAG}) q) r)"
 _SEG = """g AS (SELECT way_id, i AS seg_idx, node_id AS a_node, lead(node_id) OVER (PARTITION BY way_id ORDER BY i) AS b_node, lat AS alat, lon AS alon, lead(lat) OVER (PARTITION BY way_id ORDER BY i) AS blat, lead(lon) OVER (PARTITION BY way_id ORDER BY i) AS blon FROM d_vertices),
  h AS (SELECT *, sqrt(power((blon-alon)*111320*cos(radians(alat)),2)+power((blat-alat)*111320,2)) AS seg_len FROM g WHERE b_node IS NOT NULL)"""
@@ -124,12 +116,12 @@ _CAND = f"""f AS ({_WALK}), rd AS ({_ROADS}), c AS (SELECT f.*, h.way_id, h.seg_
  r AS (SELECT *, row_number() OVER (PARTITION BY trip_id, seq ORDER BY round(dist,6), way_id, seg_idx) AS cand_rank FROM e WHERE dist<=least(150,greatest(25,25+acc/2))),
  n AS (SELECT *, -0.5*power(dist/greatest(4.07,acc/2),2)-ln(greatest(4.07,acc/2)*2.5066282746310002)-CASE WHEN speed_kmh<15 AND highway IN ('motorway','trunk_link') THEN ln(1e6) ELSE 0 END AS emit FROM r WHERE cand_rank<=5)"""
 _ORACLES = {
-    "coverage_by_region": f"""WITH {_WAYS}, {_UNION}, dr AS (SELECT way_id, sum(end_m-start_m) AS d FROM u GROUP BY way_id)
+    "coverage_by_region": f"""WITH {WAYS}, {UNION}, dr AS (SELECT way_id, sum(end_m-start_m) AS d FROM u GROUP BY way_id)
  SELECT a.level, a.region_id, count(*) AS n_ways, round(sum(coalesce(d,0)),2) AS driven_m, round(sum(len),2) AS total_m, round(least(greatest(sum(coalesce(d,0))/sum(len)*100,0),100),4) AS pct
  FROM att a JOIN w ON a.way_id=w.way_id LEFT JOIN dr ON dr.way_id=a.way_id GROUP BY a.level,a.region_id""",
-    "interval_union": f"WITH {_UNION} SELECT way_id, start_m, end_m FROM u",
-    "way_length_centroid": f"WITH {_WAYS} SELECT way_id, round(len,3) AS len_m, round(clat,6) AS lat, round(clon,6) AS lon FROM w",
-    "point_in_region": f"WITH {_WAYS} SELECT level, region_id, count(*) AS n FROM att GROUP BY 1, 2",
+    "interval_union": f"WITH {UNION} SELECT way_id, start_m, end_m FROM u",
+    "way_length_centroid": f"WITH {WAYS} SELECT way_id, round(len,3) AS len_m, round(clat,6) AS lat, round(clon,6) AS lon FROM w",
+    "point_in_region": f"WITH {WAYS} SELECT level, region_id, count(*) AS n FROM att GROUP BY 1, 2",
     "trip_distance": f"WITH {_STEP} SELECT trip_id, round(sum(d),1) AS distance_m, max(speed_kmh) AS max_speed, count(*) AS n FROM s GROUP BY trip_id",
     "gap_split_sessions": f"WITH {_STEP}, t AS (SELECT *, sum(CASE WHEN ts-pts>INTERVAL 5 MINUTE AND d>500 THEN 1 ELSE 0 END) OVER (PARTITION BY trip_id ORDER BY seq) AS session FROM s) SELECT trip_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(seq) AS first_seq FROM t GROUP BY 1, 2",
     "emission_logprob": "SELECT trip_id, seq, round(-0.5*power(speed_kmh/4/greatest(4.07,acc/2),2)-ln(greatest(4.07,acc/2)*2.5066282746310002),6) AS emit FROM d_fixes",

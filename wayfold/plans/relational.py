@@ -27,3 +27,13 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
  m AS (SELECT trip_id, way_id, sum(abs(end_m-start_m)) AS d FROM d_intervals GROUP BY trip_id, way_id)
  SELECT m.trip_id, count(*) AS n_ways, round(least(greatest(sum(d)/sum(len),0),1),6) AS fraction FROM m JOIN w ON w.way_id=m.way_id GROUP BY m.trip_id"""),
 }
+
+#: Ways with length, centroid and regions; union of intervals: parts of other queries' SQL.
+WAYS = f"""l AS (SELECT *, lag(lat) OVER (PARTITION BY way_id ORDER BY i) AS plat, lag(lon) OVER (PARTITION BY way_id ORDER BY i) AS plon FROM d_vertices),
+ w AS (SELECT way_id, sum({_HAV}) AS len, avg(lat) AS clat, avg(lon) AS clon FROM (SELECT way_id, lat, lon, {_A} AS a FROM l) h GROUP BY way_id),
+ pip AS (SELECT w.way_id, e.level, e.region_id, e.ord FROM w CROSS JOIN d_region_edges e GROUP BY w.way_id, e.level, e.region_id, e.ord
+ HAVING sum(CASE WHEN ((yi>clat) <> (yj>clat)) AND clon < (xj-xi)*(clat-yi)/((yj-yi)+1e-30)+xi THEN 1 ELSE 0 END)%2=1),
+ att AS (SELECT way_id, level, min_by(region_id, ord) AS region_id FROM pip GROUP BY way_id, level)"""
+UNION = """m AS (SELECT *, max(end_m) OVER (PARTITION BY way_id ORDER BY start_m,end_m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM d_intervals),
+ g AS (SELECT *, sum(CASE WHEN pe IS NULL OR start_m>pe THEN 1 ELSE 0 END) OVER (PARTITION BY way_id ORDER BY start_m,end_m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM m),
+ u AS (SELECT way_id, isl, min(start_m) AS start_m, max(end_m) AS end_m FROM g GROUP BY way_id, isl)"""
