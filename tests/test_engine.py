@@ -214,47 +214,6 @@ def test_debounce_keeps_the_last_of_a_burst(spark):
     assert sorted(x.request for x in lifecycle.latest(r, "k").collect()) == [3, 4]
 
 
-def brute(fixes, graph, straight_m):
-    """Best candidate path of one chain, by all of them."""
-    from itertools import product
-
-    best = None
-    for path in product(*(range(len(f)) for f in fixes)):
-        total = 0.0
-        for i, k in enumerate(path):
-            c = fixes[i][k]
-            total += c["emit"]
-            if i:
-                p = fixes[i - 1][path[i - 1]]
-                if (p["way"], p["seg"]) == (c["way"], c["seg"]):
-                    route = abs(c["frac"] - p["frac"]) * c["len"]
-                else:
-                    reach = matching._routes(graph, p, 1e9)
-                    route = min(reach[c["a"]] + c["frac"] * c["len"], reach[c["b"]] + (1 - c["frac"]) * c["len"])
-                total -= abs(route - straight_m[i])
-        if best is None or total > best[0] + 1e-9:
-            best = (total, list(path))
-    return best[1]
-
-
-def test_decoder_equals_brute_force():
-    import random
-
-    r = random.Random(3)
-    graph = {n: [] for n in range(6)}
-    edges = [(n, (n + 1) % 6, 50.0 + 10 * n) for n in range(6)] + [(0, 3, 70.0)]
-    for a, b, d in edges:
-        graph[a].append((b, d))
-        graph[b].append((a, d))
-    for _ in range(20):
-        fixes = []
-        for _ in range(4):
-            picks = r.sample(range(len(edges)), 3)
-            fixes.append([{"way": w, "seg": 0, "a": edges[w][0], "b": edges[w][1], "len": edges[w][2], "frac": r.random(), "emit": -r.random() * 9, "oneway": 0} for w in picks])
-        gaps = [0.0, *(r.random() * 80 for _ in range(3))]
-        assert matching.decode(fixes, graph, gaps) == brute(fixes, graph, gaps)
-
-
 def fixes_frame():
     t = pd.Timestamp("2026-01-01 08:00:00")
     rows = [(0, 0, 0.0, 5, "a"), (1, 0.5, 0.0001, 5, "b"), (2, 5, 0.0002, 30, "c"), (3, 6, 0.0002, 5, "a"), (4, 7, 0.0003, 5, "d"), (5, 400, 0.0004, 5, "e"), (6, 900, 0.1, 5, "f")]

@@ -30,6 +30,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Fixes along ways: vertices moved by some metres, so that matching has something to match.
+WALK = """SELECT CAST(way_id%500 AS BIGINT) AS trip_id, CAST(20+way_id%30 AS DOUBLE)-CAST(i*5 AS DOUBLE) AS speed_kmh, CAST(floor(way_id/500)*4+i AS BIGINT) AS seq, TIMESTAMP '2026-01-01 00:00:00' AS ts0, lat+CAST((way_id*7+i*3)%11-5 AS DOUBLE)/100000 AS lat, lon+CAST((way_id*5+i)%9-4 AS DOUBLE)/100000 AS lon, CAST(8+way_id%20 AS DOUBLE) AS acc FROM d_vertices"""
+
+
+def walk(spark: SparkSession) -> DataFrame:
+    """The fixes; d_vertices is loaded before."""
+    return spark.sql(WALK).withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts0") + F.col("seq") * 5)).drop("ts0")
+
+
 def _points(v: DataFrame) -> DataFrame:
     return v.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("i", "lat", "lon", "node_id"))).alias("v"))
 
@@ -48,14 +57,49 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
     nodes = F.when(F.col("way_id") % 10 == 0, F.slice(nodes, 1, 3)).otherwise(nodes)
     tags = F.struct("highway", "name", F.col("tag").alias("oneway"), F.col("speed").alias("maxspeed"))
     e = F.struct(F.lit("way").alias("type"), F.col("way_id").alias("id"), nodes.alias("nodes"), F.transform("v", lambda p: F.struct(p["lat"], p["lon"])).alias("geometry"), tags.alias("tags"))
-    return v.groupBy((F.col("way_id") % 50).alias("tile_ord")).agg(F.to_json(F.struct(F.lit(0.6).alias("version"), F.collect_list(e).alias("elements"))).alias("body"))
+    body = F.to_json(F.struct(F.lit(0.6).alias("version"), F.collect_list(e).alias("elements")))
+    # odd elements and points, of which each is skipped by itself
+    body = F.replace(body, F.lit('"elements":['), F.lit('"elements":["junk",null,7,[],{"type":"way","id":"5"},{"type":"way","id":1.0,"geometry":[{"lat":1,"lon":2},{"lat":1,"lon":3}],"tags":{"highway":"road"}},'))
+    body = F.replace(body, F.lit('"geometry":[{"lat":4'), F.lit('"geometry":[null,7,{"lat":"1","lon":2},{"lat":1},{"lat":4'))
+    return v.groupBy((F.col("way_id") % 50).alias("tile_ord")).agg(body.alias("body"))
 
 
 @query(f"""WITH t AS ({_TAGS}), w AS (SELECT *, regexp_extract(speed, '^([0-9]+)', 1) AS m FROM t WHERE highway NOT IN ('service','track'))
  SELECT way_id, way_id%50 AS tile_ord, highway, nullif(name,'') AS name, CASE WHEN tag IN ('yes','1') THEN 'forward' WHEN tag IN ('-1','reverse') THEN 'backward' WHEN tag IN ('no','0') THEN 'no' WHEN highway IN ('motorway','motorway_link','trunk_link') THEN 'forward' ELSE 'no' END AS oneway,
- CASE WHEN m='' THEN NULL WHEN regexp_matches(speed, '^[0-9]+ mph') THEN CAST(round(CAST(m AS DOUBLE)*1.609344) AS BIGINT) ELSE CAST(m AS BIGINT) END AS maxspeed, 4 AS n_points, CASE WHEN way_id%10=0 THEN 0 ELSE 4 END AS n_nodes FROM w""")
+ CASE WHEN m='' THEN NULL WHEN regexp_matches(speed, '^[0-9]+ mph') THEN CAST(round(CAST(m AS DOUBLE)*1.609344) AS BIGINT) ELSE CAST(m AS BIGINT) END AS maxspeed, 4 AS n_points, CASE WHEN way_id%10=0 THEN 0 ELSE 4 END AS n_nodes, CASE WHEN way_id%10>0 THEN last_node END AS last_node, round(sum_lat,6) AS sum_lat, round(last_lon,6) AS last_lon
+ FROM w JOIN (SELECT way_id AS k, max_by(node_id, i) AS last_node, sum(lat) AS sum_lat, max_by(lon, i) AS last_lon FROM d_vertices GROUP BY way_id) g ON g.k=w.way_id""")
 def parse_ways(spark: SparkSession, d: str) -> DataFrame:
-    return osm.parse_ways(_responses(spark, d)).select("way_id", "tile_ord", "highway", "name", "oneway", "maxspeed", F.size("geometry").alias("n_points"), F.size("node_ids").alias("n_nodes"))
+    end = F.col("geometry")[F.size("geometry") - 1]["lon"]
+    lats = F.aggregate("geometry", F.lit(0.0), lambda t, p: t + p["lat"])
+    return osm.parse_ways(_responses(spark, d)).select("way_id", "tile_ord", "highway", "name", "oneway", "maxspeed", F.size("geometry").alias("n_points"), F.size("node_ids").alias("n_nodes"), F.get("node_ids", F.size("node_ids") - 1).alias("last_node"), F.round(lats, 6).alias("sum_lat"), F.round(end, 6).alias("last_lon"))
+
+
+_KEY = "-abs(CAST(round({lat}*1000000) AS BIGINT)*1000000007+CAST(round({lon}*1000000) AS BIGINT))-1"
+
+
+def _tiled(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices of the ways in gzip tiles: unpacked, parsed, each way from its first tile."""
+    ways = osm.parse_ways(osm.gunzip(osm.gzip(_responses(spark, d), "body")))
+    return matching.vertices(ways.withColumn("k", F.row_number().over(W.partitionBy("way_id").orderBy("tile_ord"))).where("k = 1"))
+
+
+@query(f"""WITH t AS ({_TAGS}), v AS (SELECT d.*, CASE WHEN way_id%10=0 THEN {_KEY.format(lat='lat', lon='lon')} ELSE node_id END AS n FROM d_vertices d WHERE way_id IN (SELECT way_id FROM t WHERE highway NOT IN ('service','track'))),
+ g AS (SELECT way_id, i AS seg_idx, n AS a_node, lead(n) OVER w AS b_node, lat AS alat, lon AS alon, lead(lat) OVER w AS blat, lead(lon) OVER w AS blon FROM v WINDOW w AS (PARTITION BY way_id ORDER BY i))
+ SELECT g.way_id, seg_idx, a_node, b_node, highway, CASE WHEN tag IN ('yes','1') THEN 1 WHEN tag IN ('-1','reverse') THEN -1 WHEN tag IN ('no','0') THEN 0 WHEN highway IN ('motorway','motorway_link','trunk_link') THEN 1 ELSE 0 END AS oneway,
+ round(sqrt(power((blon-alon)*111320*cos(radians(alat)),2)+power((blat-alat)*111320,2)),3) AS seg_len FROM g JOIN t ON t.way_id=g.way_id WHERE blat IS NOT NULL""")
+def tile_segments(spark: SparkSession, d: str) -> DataFrame:
+    """From gzip tiles to segments with classes, directions and nodes; ways without ids meet by their places."""
+    return matching.segments(_tiled(spark, d)).select("way_id", "seg_idx", "a_node", "b_node", "highway", "oneway", F.round("seg_len", 3).alias("seg_len"))
+
+
+@query()
+def tiles_to_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """From gzip tiles and fixes to driven intervals: the whole way of a trip through the engine."""
+    v = _tiled(spark, d)
+    segs = matching.segments(v)
+    fixes = walk(spark)
+    near = matching.subtracks(matching.candidates(fixes, segs), fixes)
+    return matching.driven_intervals(matching.viterbi_steps(near, segs, fixes), near, fixes, v)
 
 
 @query(f"SELECT way_id%50 AS tile_ord, count(*) AS n FROM ({_TAGS}) t WHERE highway NOT IN ('service','track') GROUP BY 1")

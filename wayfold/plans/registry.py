@@ -58,10 +58,6 @@ def segments_explode(spark: SparkSession, d: str) -> DataFrame:
     return matching.segments(load(spark, d, "d_vertices")).select("way_id", "seg_idx", "a_node", "b_node", F.round("seg_len", 3).alias("seg_len"), F.round("from_m", 3).alias("from_m"))
 
 
-#: Fixes along ways: vertices moved by some metres, so that matching has something to match.
-_WALK = """SELECT CAST(way_id%500 AS BIGINT) AS trip_id, CAST(20+way_id%30 AS DOUBLE)-CAST(i*5 AS DOUBLE) AS speed_kmh, CAST(floor(way_id/500)*4+i AS BIGINT) AS seq, TIMESTAMP '2026-01-01 00:00:00' AS ts0, lat+CAST((way_id*7+i*3)%11-5 AS DOUBLE)/100000 AS lat, lon+CAST((way_id*5+i)%9-4 AS DOUBLE)/100000 AS lon, CAST(8+way_id%20 AS DOUBLE) AS acc FROM d_vertices"""
-
-
 #: Classes and one-way rules of ways for matching.
 _ROADS = """SELECT p_partkey AS way_id, CASE p_size%5 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk_link' ELSE 'residential' END AS highway, CASE p_size%7 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS oneway FROM part"""
 
@@ -69,7 +65,7 @@ _ROADS = """SELECT p_partkey AS way_id, CASE p_size%5 WHEN 0 THEN 'motorway' WHE
 def _matching(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Fixes, candidates, segments and vertices."""
     v = load(spark, d, "d_vertices")
-    fixes = spark.sql(_WALK).withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts0") + F.col("seq") * 5)).drop("ts0")
+    fixes = domain.walk(spark)
     segs = matching.segments(v.join(spark.sql(_ROADS), "way_id"))
     return fixes, matching.candidates(fixes, segs), segs, v
 
@@ -110,7 +106,7 @@ _DATAFRAME = [coverage_by_region, interval_union, way_length_centroid, point_in_
 _STEP = f"s AS (SELECT *, {_HAV} AS d FROM (SELECT *, {_A} AS a FROM ({_LAG}) q) r)"
 _SEG = """g AS (SELECT way_id, i AS seg_idx, node_id AS a_node, lead(node_id) OVER (PARTITION BY way_id ORDER BY i) AS b_node, lat AS alat, lon AS alon, lead(lat) OVER (PARTITION BY way_id ORDER BY i) AS blat, lead(lon) OVER (PARTITION BY way_id ORDER BY i) AS blon FROM d_vertices),
  h AS (SELECT *, sqrt(power((blon-alon)*111320*cos(radians(alat)),2)+power((blat-alat)*111320,2)) AS seg_len FROM g WHERE b_node IS NOT NULL)"""
-_CAND = f"""f AS ({_WALK}), rd AS ({_ROADS}), c AS (SELECT f.*, h.way_id, h.seg_idx, rd.highway, (f.lon-alon)*111320*cos(radians(alat)) AS px, (f.lat-alat)*111320 AS py, (blon-alon)*111320*cos(radians(alat)) AS bx, (blat-alat)*111320 AS bq
+_CAND = f"""f AS ({domain.WALK}), rd AS ({_ROADS}), c AS (SELECT f.*, h.way_id, h.seg_idx, rd.highway, (f.lon-alon)*111320*cos(radians(alat)) AS px, (f.lat-alat)*111320 AS py, (blon-alon)*111320*cos(radians(alat)) AS bx, (blat-alat)*111320 AS bq
  FROM f JOIN h ON f.lat BETWEEN least(alat,blat)-0.002 AND greatest(alat,blat)+0.002 AND f.lon BETWEEN least(alon,blon)-0.003 AND greatest(alon,blon)+0.003 JOIN rd ON rd.way_id=h.way_id),
  t AS (SELECT *, greatest(0,least(1,(px*bx+py*bq)/(bx*bx+bq*bq))) AS k FROM c), e AS (SELECT *, sqrt(power(px-k*bx,2)+power(py-k*bq,2)) AS dist FROM t),
  r AS (SELECT *, row_number() OVER (PARTITION BY trip_id, seq ORDER BY round(dist,6), way_id, seg_idx) AS cand_rank FROM e WHERE dist<=least(150,greatest(25,25+acc/2))),

@@ -56,9 +56,10 @@ def regions(bodies: DataFrame, body: str = "body") -> DataFrame:
 
 
 def region_totals(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """JSON maps of region id to metres -> (region_id, total_m). Values that aren't numbers are skipped; a damaged body gives none."""
-    rows = bodies.select(F.explode(F.from_json(F.col(body), "map<string,string>")).alias("k", "v"))
-    return rows.select(F.col("k").try_cast("long").alias("region_id"), F.col("v").try_cast("double").alias("total_m")).where("region_id is not null and total_m is not null")
+    """JSON maps of region id to metres -> (region_id, total_m). Values that aren't numbers, those in quotes among them, are skipped; a damaged body gives none."""
+    rows = bodies.select(F.explode(F.try_variant_get(F.try_parse_json(F.col(body)), "$", "map<string,variant>")).alias("k", "v"))
+    number = F.when(F.schema_of_variant("v").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get("v", "$", "double"))
+    return rows.select(F.col("k").try_cast("long").alias("region_id"), number.alias("total_m")).where("region_id is not null and total_m is not null")
 
 
 def relation_query(levels: tuple[int, ...] = (2, 4, 6, 8, 9, 10), area: str = "DE", timeout: int = 900) -> str:
