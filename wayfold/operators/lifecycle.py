@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A trip's states in order; minutes to wait by attempts; most attempts; bytes at which eviction begins and ends.
-STATUSES = ("recording", "pendingRoadData", "pending", "matched", "confirmed")
+STATUSES = ("recording", "pendingRoadData", "pending", "matched", "confirmed", "rejected")
 BACKOFF, MOST_ATTEMPTS, HIGH, LOW = (5, 30, 120, 720, 1440), 5, 50_000_000, 40_000_000
 
 
@@ -36,11 +36,10 @@ def backfill_ends(trips: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def moved(trips: DataFrame, requests: DataFrame) -> DataFrame:
-    """Trips after requests (trip_id, status): a request moves a trip to the state right after its own; any other changes nothing, so it may repeat."""
-    step = F.create_map(*(F.lit(x) for pair in zip(STATUSES, STATUSES[1:]) for x in pair))
-    rows = trips.join(requests.select("trip_id", F.col("status").alias("_to")).distinct(), "trip_id", "left")
-    rows = rows.withColumn("_to", F.when(F.col("_to") == F.try_element_at(step, F.col("status")), F.col("_to")))
-    rows = rows.groupBy(*trips.columns).agg(F.max("_to").alias("_to"))
+    """Trips after requests (trip_id, status): the state is written whatever the old one was, so a request may repeat; of several for a trip the furthest counts."""
+    place = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status"))
+    asked = requests.groupBy("trip_id").agg(F.max_by("status", place).alias("_to"))
+    rows = trips.join(asked, "trip_id", "left")
     return rows.select(*(F.coalesce("_to", "status").alias("status") if c == "status" else F.col(c) for c in trips.columns))
 
 
@@ -55,7 +54,7 @@ def without(parents: DataFrame, children: DataFrame, deleted: DataFrame, key: st
 
 
 def confirm(trips: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Chosen matched trips become confirmed; the touched regions are then invalidated and recomputed (wayfold.operators.regions)."""
+    """Chosen trips become confirmed; wayfold.operators.publish does it together with the regions that they touch."""
     return moved(trips, chosen.select("trip_id", F.lit("confirmed").alias("status")))
 
 
@@ -134,10 +133,10 @@ def newest_open(trips: DataFrame) -> DataFrame:
 
 
 def union_box(trips: DataFrame) -> DataFrame:
-    """One row with the box of all matched and confirmed trips; all null as soon as one of them has no box."""
+    """One row with the box of all matched and confirmed trips, over those that have one; all null if a side is known of none."""
     kept = trips.where(F.col("status").isin("matched", "confirmed"))
     corners = {"min_lat": F.min, "min_lon": F.min, "max_lat": F.max, "max_lon": F.max}
-    whole = reduce(Column.__and__, (F.count(c) == F.count("*") for c in corners))
+    whole = reduce(Column.__and__, (F.count(c) > 0 for c in corners))
     return kept.agg(*(F.when(whole, f(c)).alias(c) for c, f in corners.items()))
 
 

@@ -49,12 +49,13 @@ def way_ends(vertices: DataFrame) -> DataFrame:
 
 
 def clip_stretches(union: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Union intervals (way_id, start_m, end_m) and vertices of the driven ways -> what is drawn of each: way_id, part, lo, hi.
+    """Union intervals (way_id, start_m, end_m) and vertices -> what is drawn of each driven way: way_id, part, lo, hi. Ways that weren't driven join nothing.
 
     Thorns (short, less than half, not between two ways) go; short ways between two others are drawn whole; a stretch
     near an end that another way shares reaches to it; ways without node ids snap to their ends instead. Ways without geometry go.
     """
     by = W.partitionBy("way_id")
+    vertices = vertices.join(union.select("way_id").distinct(), "way_id", "left_semi")
     u = union.select("way_id", F.least("start_m", "end_m").alias("lo"), F.greatest("start_m", "end_m").alias("hi"))
     u = u.join(way_ends(vertices), "way_id").withColumns({"part": F.row_number().over(by.orderBy("lo", "hi")), "parts": F.count("*").over(by), "driven": F.sum(F.col("hi") - F.col("lo")).over(by)})
     bridges = F.col("first_shared") & F.col("last_shared")

@@ -19,14 +19,16 @@ def _now():
     return F.expr(NOW)
 
 
-@query("SELECT min(a) AS min_lat, min(c) AS min_lon, max(b) AS max_lat, max(e) AS max_lon FROM (SELECT trip_id, min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS e FROM d_fixes GROUP BY trip_id) q WHERE trip_id IN (SELECT trip_id FROM d_trips WHERE status IN ('matched','confirmed')) UNION ALL SELECT NULL, NULL, NULL, NULL")
+@query("""WITH q AS (SELECT trip_id, CASE WHEN trip_id%3>0 THEN min(lat) END AS a, max(lat) AS b, min(lon) AS c, CASE WHEN trip_id%5>0 THEN max(lon) END AS e FROM d_fixes GROUP BY trip_id)
+ SELECT min(a) AS min_lat, min(c) AS min_lon, max(b) AS max_lat, max(e) AS max_lon FROM q WHERE trip_id IN (SELECT trip_id FROM d_trips WHERE status IN ('matched','confirmed')) UNION ALL SELECT NULL, NULL, NULL, NULL""")
 def union_bbox(spark: SparkSession, d: str) -> DataFrame:
-    """Once over trips that all have a box, once with trips that have none, which makes it null."""
-    t = load(spark, d, "d_trips").join(domain._boxes(spark, d), "trip_id", "left")
-    return lifecycle.union_box(t.where("min_lat is not null")).union(lifecycle.union_box(t))
+    """Once over trips of which some lack a side, once over trips of which none has one of the sides, which makes it null."""
+    boxes = domain._boxes(spark, d).withColumns({"min_lat": F.when(F.col("trip_id") % 3 > 0, F.col("min_lat")), "max_lon": F.when(F.col("trip_id") % 5 > 0, F.col("max_lon"))})
+    t = load(spark, d, "d_trips").join(boxes, "trip_id", "left")
+    return lifecycle.union_box(t).union(lifecycle.union_box(t.where("max_lon is null")))
 
 
-_CACHE = "SELECT 12 AS z, p_partkey%16 AS x, p_partkey AS y, CAST(p_retailprice*86400 AS BIGINT) AS s, p_size AS payload_bytes, p_size%5 AS way_count, p_partkey%16 AS device FROM part"
+_CACHE = "SELECT 12 AS z, p_partkey%16 AS x, p_partkey AS y, CAST((900+p_partkey%100)*86400 AS BIGINT) AS s, p_size AS payload_bytes, p_size%5 AS way_count, p_partkey%16 AS device FROM part"
 
 
 def _cache(spark: SparkSession, d: str) -> DataFrame:
@@ -39,9 +41,9 @@ def lru_evict(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.evicted(_cache(spark, d), "device", 500, 400).select("y")
 
 
-@query(f"SELECT y FROM ({_CACHE}) c WHERE s>=1500*86400-30*86400 AND way_count>0")
+@query(f"SELECT y FROM ({_CACHE}) c WHERE s>=960*86400-30*86400 AND way_count>0")
 def ttl_filter(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.fresh_tiles(_cache(spark, d), F.timestamp_seconds(F.lit(1500 * 86400))).select("y")
+    return lifecycle.fresh_tiles(_cache(spark, d), F.timestamp_seconds(F.lit(960 * 86400))).select("y")
 
 
 @query(f"SELECT coalesce(sum(payload_bytes), 0) AS payload_bytes FROM ({_CACHE}) c")
@@ -49,10 +51,10 @@ def payload_sum(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.payload(_cache(spark, d))
 
 
-@query(f"SELECT y, s>=1500*86400-30*86400 AS hit FROM ({_CACHE}) c WHERE payload_bytes<25")
+@query(f"SELECT y, s>=960*86400-30*86400 AS hit FROM ({_CACHE}) c WHERE payload_bytes<25")
 def tile_scan(spark: SparkSession, d: str) -> DataFrame:
     c = _cache(spark, d)
-    hits, misses = osm.tile_scan(c, c.where("payload_bytes < 25").select("z", "x", "y"), F.timestamp_seconds(F.lit(1500 * 86400)))
+    hits, misses = osm.tile_scan(c, c.where("payload_bytes < 25").select("z", "x", "y"), F.timestamp_seconds(F.lit(960 * 86400)))
     return hits.select("y", F.lit(True).alias("hit")).union(misses.select("y", F.lit(False)))
 
 
@@ -91,7 +93,7 @@ def orphan_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.orphans(_trips(spark, d), _queue(spark, d).where("trip_id % 4 = 0")).select("trip_id")
 
 
-@query(f"SELECT trip_id, CASE WHEN status='pending' AND trip_id%2=0 THEN 'matched' WHEN status='matched' AND trip_id%3=0 THEN 'confirmed' ELSE status END AS status FROM ({_TRIPS}) t")
+@query(f"SELECT trip_id, CASE WHEN trip_id%3=0 THEN 'confirmed' WHEN trip_id%2=0 THEN 'matched' ELSE status END AS status FROM ({_TRIPS}) t")
 def status_transition(spark: SparkSession, d: str) -> DataFrame:
     t = _trips(spark, d)
     asked = t.where("trip_id % 2 = 0").select("trip_id", F.lit("matched").alias("status")).union(t.where("trip_id % 3 = 0").select("trip_id", F.lit("confirmed")))
@@ -203,11 +205,11 @@ def label_points(spark: SparkSession, d: str) -> DataFrame:
     return rings.label_points(_regions(spark, d))
 
 
-@query(f"""WITH p AS (SELECT trip_id*2 AS id, arg_min(lat, seq) AS lat, arg_min(lon, seq) AS lon FROM d_fixes GROUP BY trip_id UNION ALL SELECT trip_id*2+1, arg_max(lat, seq), arg_max(lon, seq) FROM d_fixes GROUP BY trip_id),
+@query(f"""WITH p AS (SELECT trip_id*2 AS id, arg_min(lat, seq) AS lat, arg_min(lon, seq) AS lon FROM d_fixes GROUP BY trip_id UNION ALL SELECT trip_id*2+1, CASE WHEN trip_id%3=0 THEN arg_min(lat, seq) ELSE arg_max(lat, seq) END, CASE WHEN trip_id%3=0 THEN arg_min(lon, seq) ELSE arg_max(lon, seq) END FROM d_fixes GROUP BY trip_id),
  d_region_edges AS (SELECT region_id, CASE WHEN level=6 THEN 8 ELSE 10 END AS level, ord, xi, yi, xj, yj FROM d_region_edges), {_INSIDE}, n AS (SELECT id, min_by(concat('R', CAST(region_id AS VARCHAR)), level) AS name FROM f GROUP BY id), t AS (SELECT DISTINCT trip_id FROM d_fixes)
  SELECT t.trip_id, a.name AS start_name, b.name AS end_name, coalesce(a.name=b.name, FALSE) AS loop FROM t LEFT JOIN n a ON a.id=t.trip_id*2 LEFT JOIN n b ON b.id=t.trip_id*2+1""".replace("d_region_edges AS (SELECT", "re AS (SELECT").replace("FROM d_region_edges GROUP BY region_id", "FROM re GROUP BY region_id").replace("JOIN d_region_edges e", "JOIN re e"))
 def trip_places(spark: SparkSession, d: str) -> DataFrame:
-    g = load(spark, d, "d_fixes").groupBy("trip_id").agg(F.min_by(F.struct("lat", "lon"), "seq").alias("s"), F.max_by(F.struct("lat", "lon"), "seq").alias("e"))
+    g = load(spark, d, "d_fixes").groupBy("trip_id").agg(F.min_by(F.struct("lat", "lon"), "seq").alias("s"), F.max_by(F.struct("lat", "lon"), "seq").alias("e")).withColumn("e", F.when(F.col("trip_id") % 3 == 0, F.col("s")).otherwise(F.col("e")))
     ends = g.select("trip_id", F.explode(F.array(F.struct((F.col("trip_id") * 2).alias("id"), F.lit("start").alias("side"), "s.lat", "s.lon"), F.struct((F.col("trip_id") * 2 + 1).alias("id"), F.lit("end").alias("side"), "e.lat", "e.lon"))).alias("x")).select("trip_id", "x.*")
     r = _regions(spark, d).withColumn("level", F.when(F.col("level") == 6, 8).otherwise(10))
     return regions.trip_places(ends, regions.containing(ends, r, "id"), "id")

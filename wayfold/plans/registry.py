@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import coverage, matching
 from ..sources.views import load, oracle
-from . import domain, live, models, stores  # noqa: F401  they add their queries to domain's
+from . import domain, inbox, live, models, stores  # noqa: F401  they add their queries to domain's
 from .relational import _A, _HAV, _LAG, SQL, UNION, WAYS
 
 

@@ -16,12 +16,8 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "junction_sharing": (("d_vertices",), "SELECT node_id, count(DISTINCT way_id) AS n_ways FROM d_vertices WHERE i IN (0, 3) GROUP BY node_id HAVING count(DISTINCT way_id)>1"),
     "oneway_normalise": (("part",), """SELECT way_id, tag, class, CASE WHEN tag IN ('yes','true','1') THEN 'forward' WHEN tag IN ('-1','reverse') THEN 'backward' WHEN tag IN ('no','false','0') THEN 'no' WHEN class IN ('motorway','motorway_link','trunk_link') THEN 'forward' ELSE 'no' END AS oneway
  FROM (SELECT p_partkey AS way_id, CASE p_size%7 WHEN 0 THEN 'yes' WHEN 1 THEN '-1' WHEN 2 THEN 'no' WHEN 3 THEN 'reverse' WHEN 4 THEN '1' WHEN 5 THEN '0' ELSE '' END AS tag, CASE p_partkey%3 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk_link' ELSE 'primary' END AS class FROM part) t"""),
-    "inflight_count": (("d_trips",), "SELECT count(*) AS n FROM d_trips WHERE status='pending'"),
-    "inbox_list": (("d_trips", "d_intervals"), "SELECT t.trip_id, t.started_at, t.distance_m, coalesce(i.n, 0) AS interval_count, coalesce(i.n, 0)=0 AS fail_matched FROM d_trips t LEFT JOIN (SELECT trip_id, count(*) AS n FROM d_intervals GROUP BY trip_id) i ON i.trip_id=t.trip_id WHERE t.status='matched'"),
-    "history_list": (("d_trips", "d_intervals"), "SELECT t.trip_id, t.status, t.status='pending' AS in_flight, coalesce(i.n, 0) AS interval_count FROM d_trips t LEFT JOIN (SELECT trip_id, count(*) AS n FROM d_intervals GROUP BY trip_id) i ON i.trip_id=t.trip_id WHERE t.status IN ('matched','confirmed','pending')"),
     "cascade_delete": (("d_trips", "d_intervals"), "SELECT i.way_id, i.trip_id, i.start_m, i.end_m FROM d_intervals i WHERE NOT EXISTS (SELECT 1 FROM d_trips t WHERE t.trip_id=i.trip_id AND t.status='pending')"),
     "set_null_delete": (("d_trips", "d_intervals"), "SELECT i.way_id, t.trip_id, i.start_m, i.end_m FROM d_intervals i LEFT JOIN (SELECT trip_id FROM d_trips WHERE status<>'pending') t ON t.trip_id=i.trip_id"),
-    "distinct_trips": (("d_intervals",), "SELECT DISTINCT trip_id FROM d_intervals WHERE trip_id IS NOT NULL"),
     "trip_detail_fraction": (("d_intervals", "d_vertices"), f"""WITH l AS (SELECT *, lag(lat) OVER (PARTITION BY way_id ORDER BY i) AS plat, lag(lon) OVER (PARTITION BY way_id ORDER BY i) AS plon FROM d_vertices),
  w AS (SELECT way_id, sum({_HAV}) AS len FROM (SELECT way_id, {_A} AS a FROM l) h GROUP BY way_id),
  m AS (SELECT trip_id, way_id, sum(abs(end_m-start_m)) AS d FROM d_intervals GROUP BY trip_id, way_id)

@@ -39,8 +39,8 @@ def request_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return out.select("n", "attempts", "waited_s", "http_status", "outcome", "server")
 
 
-_NOW = 1_500 * 86_400
-_CACHED = "SELECT 12 AS z, p_partkey%16 AS x, p_partkey AS y, CAST(p_retailprice*86400 AS BIGINT) AS s FROM part WHERE p_partkey%3>0"
+_NOW = 960 * 86_400
+_CACHED = "SELECT 12 AS z, p_partkey%16 AS x, p_partkey AS y, CAST((900+p_partkey%100)*86400 AS BIGINT) AS s FROM part WHERE p_partkey%3>0"
 _WANTED = "SELECT 12 AS z, p_partkey%16 AS x, p_partkey AS y, p_size AS size FROM part WHERE p_size%4>0"
 
 
