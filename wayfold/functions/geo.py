@@ -109,3 +109,21 @@ def pixel(lat: Column, lon: Column, box: dict[str, Column], width: float, height
     fy = F.lit(1.0) - F.try_divide(lat - box["min_lat"], box["max_lat"] - box["min_lat"])
     sound = (box["max_lat"] > box["min_lat"]) & (box["max_lon"] > box["min_lon"]) & F.lit(width > 2 * pad and height > 2 * pad) & fx.between(0, 1) & fy.between(0, 1)
     return F.when(sound, F.lit(pad) + fx * (width - 2 * pad)), F.when(sound, F.lit(pad) + fy * (height - 2 * pad))
+
+
+#: Half axis (m) and flattening of the WGS 84 ellipsoid.
+HALF_AXIS, FLATTENING = 6_378_137.0, 1 / 298.257223563
+
+
+def ellipsoid(lat: Column, lon: Column, lat2: Column, lon2: Column) -> Column:
+    """Geodesic metres on the ellipsoid by Lambert's formula: off by about ten metres over thousands of kilometres, next to nothing over a road; 0 for equal places."""
+    reduced = lambda c: F.atan((1 - FLATTENING) * F.tan(F.radians(c)))
+    b, c = reduced(lat), reduced(lat2)
+    half = lambda x: F.pow(F.sin(x / 2), F.lit(2.0))
+    h = half(c - b) + F.cos(b) * F.cos(c) * half(F.radians(lon2) - F.radians(lon))
+    s = 2 * F.atan2(F.sqrt(h), F.sqrt(1 - h))
+    p, q = (b + c) / 2, (c - b) / 2
+    square = lambda x: x * x
+    x = (s - F.sin(s)) * square(F.sin(p)) * square(F.cos(q)) / square(F.cos(s / 2))
+    y = (s + F.sin(s)) * square(F.cos(p)) * F.try_divide(square(F.sin(q)), square(F.sin(s / 2)))
+    return F.when(h == 0, F.lit(0.0)).otherwise(F.lit(HALF_AXIS) * (s - FLATTENING / 2 * (x + y)))

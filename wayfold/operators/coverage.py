@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .regionindex import located, region_cells
 
 
 def interval_union(intervals: DataFrame) -> DataFrame:
@@ -32,26 +33,14 @@ def way_geometry(vertices: DataFrame) -> DataFrame:
     return g.select("way_id", length.alias("len_m"), mean("lat").alias("lat"), mean("lon").alias("lon"))
 
 
-#: Side of a cell (degrees) by which points meet regions' boxes.
-REGION_CELL = 0.1
-
-
 def point_in_region(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, lat, lon) with region edges (region_id, level, ord, xi..yj) -> (key, level, region_id), the first region of each level.
 
-    Regions' boxes are dealt to coarse grid cells and a point looks into its own cell, so that points meet only regions
-    near them, in an equality join that partitions by place (and that Spark broadcasts by itself where the rings are
-    small); the box is tested next, then the even-odd count of crossings, by higher-order functions. No pair is met twice.
+    A place looks into its own cell of the regions' index, in an equality join that partitions by place (and that Spark broadcasts by itself where the
+    index is small); only edges in that cell are looked at.
     """
-    rings = edges.groupBy("region_id", "level", "ord").agg(
-        F.collect_list(F.struct("xi", "yi", "xj", "yj")).alias("ring"), F.min("xi").alias("x0"), F.max("xi").alias("x1"), F.min("yi").alias("y0"), F.max("yi").alias("y1"))
-    cell = lambda c: F.floor(c / F.lit(REGION_CELL)).cast("long")
-    rings = rings.withColumn("_cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1"))))).withColumn("_cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1")))))
-    hit = lambda e: ((e["yi"] > F.col("lat")) != (e["yj"] > F.col("lat"))) & (F.col("lon") < (e["xj"] - e["xi"]) * (F.col("lat") - e["yi"]) / ((e["yj"] - e["yi"]) + F.lit(1e-30)) + e["xi"])
-    at = points.select(key, "lat", "lon", cell(F.col("lat")).alias("_cy"), cell(F.col("lon")).alias("_cx"))
-    inside = at.join(rings, ["_cy", "_cx"]).where("lat between y0 and y1 and lon between x0 and x1")
-    inside = inside.where(F.size(F.filter("ring", hit)) % 2 == 1)
-    return inside.groupBy(key, "level").agg(F.min_by("region_id", "ord").alias("region_id"))
+    found = located(points.select(key, "lat", "lon"), region_cells(edges))
+    return found.groupBy(key, "level").agg(F.min_by("region_id", "ord").alias("region_id"))
 
 
 def coverage_by_region(intervals: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.formats import coverage_percent
-from .coverage import REGION_CELL, driven, way_geometry
+from .coverage import driven, way_geometry
+from .regionindex import edges_of, located, region_cells
 
 #: Levels that ways are attributed to, and the order in which a coarser one stands in.
 LEVELS, CHAIN = (4, 6, 8, 9, 10), (10, 9, 8, 6, 4, 2)
@@ -32,11 +33,9 @@ def contains(polygons: Column, lat: Column, lon: Column) -> Column:
 
 def containing(points: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     """(key, lat, lon) and regions as wayfold.sources.tables.regions gives them -> (key, level, region_id, name, name_de), first by level."""
-    cell = lambda c: F.floor(c / F.lit(REGION_CELL)).cast("long")
-    r = regions.withColumn("_cy", F.explode(F.sequence(cell(F.col("min_lat")), cell(F.col("max_lat"))))).withColumn("_cx", F.explode(F.sequence(cell(F.col("min_lon")), cell(F.col("max_lon")))))
-    at = points.select(key, "lat", "lon", cell(F.col("lat")).alias("_cy"), cell(F.col("lon")).alias("_cx"))
-    met = at.join(r, ["_cy", "_cx"]).where("lat between min_lat and max_lat and lon between min_lon and max_lon").where(contains(F.col("polygons"), F.col("lat"), F.col("lon")))
-    return met.groupBy(key, "level").agg(F.min_by(F.struct("region_id", "name", "name_de"), "ord").alias("r")).select(key, "level", "r.*")
+    met = located(points.select(key, "lat", "lon"), region_cells(edges_of(regions)))
+    first = met.groupBy(key, "level").agg(F.min("ord").alias("ord"))
+    return first.join(regions.select("level", "ord", "region_id", "name", "name_de"), ["level", "ord"]).select(key, "level", "region_id", "name", "name_de")
 
 
 def zoom_level(zoom: Column) -> Column:

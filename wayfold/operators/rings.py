@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .coverage import REGION_CELL
+from .regionindex import clipped_metres, edges_of, region_cells
 
 #: Degrees within which ends meet, metres per degree of tolerances, tolerance (m) by level, label precision (degrees).
 EPSILON, PER_DEGREE, PRECISION = 1e-6, 111_000.0, 0.0005
@@ -171,46 +171,5 @@ def label_points(regions: DataFrame) -> DataFrame:
 
 
 def clipped_lengths(edges: DataFrame, regions: DataFrame) -> DataFrame:
-    """Road edges (way_id, i, alat .. blon) and regions -> (way_id, region_id, metres): great-circle metres of the edges inside.
-
-    Edges meet regions through coarse grid cells and boxes. An edge is cut where it crosses a ring, and a piece counts where
-    its middle is inside (holes taken out). The reference measure is geodesic; this one is spherical.
-    """
-    cell = lambda c: F.floor(c / F.lit(REGION_CELL)).cast("long")
-    span = lambda d, lo, hi, c: d.withColumn(c, F.explode(F.sequence(cell(lo), cell(hi))))
-    e = edges.select("way_id", "i", "alat", "alon", "blat", "blon")
-    e = span(span(e, F.least("alat", "blat"), F.greatest("alat", "blat"), "cy"), F.least("alon", "blon"), F.greatest("alon", "blon"), "cx")
-    flat = F.transform("polygons", lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.array(q["lat"], q["lon"]))))
-    r = span(span(regions.select("region_id", "min_lat", "min_lon", "max_lat", "max_lon", flat.alias("polygons")), F.col("min_lat"), F.col("max_lat"), "cy"), F.col("min_lon"), F.col("max_lon"), "cx")
-    near = e.join(r, ["cy", "cx"]).where("least(alat, blat) <= max_lat and greatest(alat, blat) >= min_lat and least(alon, blon) <= max_lon and greatest(alon, blon) >= min_lon")
-    near = near.select("way_id", "i", "region_id", "alat", "alon", "blat", "blon", "polygons").dropDuplicates(["way_id", "i", "region_id"])
-
-    def metres(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"way_id": f.way_id, "region_id": f.region_id, "metres": [_inside_metres((x.alat, x.alon), (x.blat, x.blon), x.polygons) for x in f.itertuples()]})
-
-    return near.mapInPandas(metres, "way_id long, region_id long, metres double").groupBy("way_id", "region_id").agg(F.sum("metres").alias("metres")).where("metres > 0")
-
-
-def _inside_metres(a: tuple, b: tuple, polygons) -> float:
-    from .matching import _haversine
-
-    rings = [[[tuple(q) for q in ring] for ring in p] for p in polygons]
-    cuts = {0.0, 1.0}
-    d = (b[0] - a[0], b[1] - a[1])
-    for ring in (r for p in rings for r in p):
-        for u, v in zip(ring, [*ring[1:], ring[0]], strict=True):
-            w = (v[0] - u[0], v[1] - u[1])
-            cross = d[0] * w[1] - d[1] * w[0]
-            if cross:
-                t = ((u[0] - a[0]) * w[1] - (u[1] - a[1]) * w[0]) / cross
-                s = ((u[0] - a[0]) * d[1] - (u[1] - a[1]) * d[0]) / cross
-                if 0 < t < 1 and 0 <= s <= 1:
-                    cuts.add(t)
-    at = lambda t: (a[0] + d[0] * t, a[1] + d[1] * t)
-    total, order = 0.0, sorted(cuts)
-    for t, u in zip(order, order[1:]):
-        middle = at((t + u) / 2)
-        if any(inside(middle, p[0]) and not any(inside(middle, h) for h in p[1:]) for p in rings):
-            total += _haversine(*at(t), *at(u))
-    return total
+    """Road edges (way_id, i, alat .. blon) and regions -> (way_id, region_id, metres): geodesic metres of the edges inside."""
+    return clipped_metres(edges, region_cells(edges_of(regions)))

@@ -235,7 +235,16 @@ def region_totals_lookup(spark: SparkSession, d: str) -> DataFrame:
     return regions.with_totals(n.select(F.col("n_nationkey").alias("region_id")), tables.region_totals(body))
 
 
-@query()
+_LAMBERT = """SELECT *, CASE WHEN h=0 THEN 0 ELSE 6378137.0*(s-1/298.257223563/2*((s-sin(s))*power(sin(p),2)*power(cos(q),2)/power(cos(s/2),2)+(s+sin(s))*power(cos(p),2)*power(sin(q),2)/power(sin(s/2),2))) END AS m
+ FROM (SELECT *, (rb+ra)/2 AS p, (rb-ra)/2 AS q, 2*atan2(sqrt(h),sqrt(1-h)) AS s FROM (SELECT *, power(sin((rb-ra)/2),2)+cos(ra)*cos(rb)*power(sin(radians(lo2-lo1)/2),2) AS h FROM (SELECT *, atan((1-1/298.257223563)*tan(radians(la1))) AS ra, atan((1-1/298.257223563)*tan(radians(la2))) AS rb FROM {source}) x) y) z"""
+
+
+# regions are convex here, so an edge is clipped by the half planes of their sides; the engine cuts by cells and tests middles
+@query(f"""WITH e AS (SELECT way_id, i, lat AS a, lon AS b, lead(lat) OVER w AS c, lead(lon) OVER w AS d FROM d_vertices WINDOW w AS (PARTITION BY way_id ORDER BY i)),
+ f AS (SELECT e.*, region_id, (xj-xi)*(a-yi)-(yj-yi)*(b-xi) AS f0, (xj-xi)*(c-a)-(yj-yi)*(d-b) AS f1 FROM e CROSS JOIN d_region_edges WHERE c IS NOT NULL),
+ g AS (SELECT way_id, i, a, b, c, d, region_id, greatest(0, max(CASE WHEN f1>0 THEN -f0/f1 ELSE 0 END)) AS t0, least(1, min(CASE WHEN f1<0 THEN -f0/f1 ELSE 1 END)) AS t1, bool_or(f1=0 AND f0<0) AS off FROM f GROUP BY ALL HAVING NOT bool_or(f1=0 AND f0<0)),
+ k AS (SELECT region_id, a+(c-a)*t0 AS la1, b+(d-b)*t0 AS lo1, a+(c-a)*t1 AS la2, b+(d-b)*t1 AS lo2 FROM g WHERE t0<t1), l AS ({_LAMBERT.format(source='k')}), t AS (SELECT region_id, sum(m) AS m FROM l GROUP BY region_id)
+ SELECT r.region_id, round(coalesce(m, 0), 1) AS total_m FROM (SELECT DISTINCT region_id FROM d_region_edges) r LEFT JOIN t ON t.region_id=r.region_id""")
 def region_road_totals(spark: SparkSession, d: str) -> DataFrame:
     v, r = load(spark, d, "d_vertices"), _regions(spark, d)
     return regions.attributed_totals(rings.clipped_lengths(overlay.edges(v), r), r).select("region_id", F.round("total_m", 1).alias("total_m"))
