@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.views import load
-from ..streaming import ingest, tracking, trips
+from ..streaming import ingest, progress, tracking, trips
 from .domain import query
 
 _T = "timestamp_micros(us)"
@@ -84,3 +84,9 @@ def recovered_trips(spark: SparkSession, d: str) -> DataFrame:
     """Trips that the events leave open, closed as after a crash."""
     rows = tracking.track(events(spark, d))
     return tracking.recovered(rows, rows.where("row = 'point'").withColumn("acc", F.lit(None).cast("double")))
+
+
+@query("""SELECT device, CAST(place AS BIGINT) AS done, total FROM (SELECT device, row_number() OVER (PARTITION BY device ORDER BY seq) AS place, count(*) OVER (PARTITION BY device) AS total FROM (SELECT user_id%8 AS device, event_id AS seq FROM events) e) q WHERE place%128=0 OR place=total""")
+def progress_events(spark: SparkSession, d: str) -> DataFrame:
+    f = load(spark, d, "events").select((F.col("user_id") % 8).alias("device"), F.col("event_id").alias("seq"))
+    return progress.events(f, by="device")
