@@ -71,7 +71,9 @@ def search_radius(accuracy: Column) -> Column:
 
 
 def transition(route: Column, straight: Column, beta: float = BETA) -> Column:
-    """Log probability of a step whose route and straight line differ."""
+    """Log probability of a step whose route and straight line differ; minus infinity for a scale that isn't positive."""
+    if beta <= 0:
+        return F.lit(-math.inf)
     return F.lit(-math.log(beta)) - F.abs(route - straight) / F.lit(beta)
 
 

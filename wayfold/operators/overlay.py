@@ -36,12 +36,18 @@ def sub_lines(parts: DataFrame, vertices: DataFrame) -> DataFrame:
     return rows.select("way_id", "part", F.concat(F.array(F.get("e", F.lit(0))["a"]), F.transform("e", lambda e: e["b"])).alias("line"))
 
 
+def junctions(vertices: DataFrame) -> DataFrame:
+    """(node_id, n_ways): nodes at which more than one way begins or ends, over ways whose vertices all have node ids."""
+    g = vertices.groupBy("way_id").agg((F.count("node_id") == F.count("*")).alias("named"), F.min_by("node_id", "i").alias("first"), F.max_by("node_id", "i").alias("last"))
+    ends = g.where("named").select("way_id", F.explode(F.array_distinct(F.array("first", "last"))).alias("node_id"))
+    return ends.groupBy("node_id").agg(F.count_distinct("way_id").alias("n_ways")).where("n_ways > 1")
+
+
 def way_ends(vertices: DataFrame) -> DataFrame:
     """By way: length, whether all vertices have node ids, and whether its first and last node end another way as well."""
     length = edges(vertices).groupBy("way_id").agg(F.sum("d").alias("len"))
     g = vertices.groupBy("way_id").agg((F.count("node_id") == F.count("*")).alias("named"), F.min_by("node_id", "i").alias("first"), F.max_by("node_id", "i").alias("last"))
-    ends = g.where("named").select("way_id", F.explode(F.array_distinct(F.array("first", "last"))).alias("node"))
-    shared = ends.groupBy("node").agg(F.count_distinct("way_id").alias("k")).where("k > 1").select("node")
+    shared = junctions(vertices).select(F.col("node_id").alias("node"))
     out = g.join(length, "way_id")
     for end in ("first", "last"):
         out = out.join(shared.select(F.col("node").alias(f"_{end}")), (F.col(end) == F.col(f"_{end}")) & F.col("named"), "left").withColumn(f"{end}_shared", F.col(f"_{end}").isNotNull()).drop(f"_{end}")

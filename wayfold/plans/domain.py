@@ -172,6 +172,24 @@ def tiles_between_fixes(spark: SparkSession, d: str) -> DataFrame:
     return tiles.new_tiles(f, f.select("trip_id", geo.tile_x(F.col("lon")).alias("x"), geo.tile_y(F.col("lat")).alias("y")).distinct(), lag=0)
 
 
+@query(f"WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY seq DESC) AS n FROM d_fixes) q WHERE n>15), {_PATH_TILES.replace('d_fixes', 's')}, r AS (SELECT DISTINCT trip_id, {_TX('lon')} AS x, {_TY('lat')} AS y FROM d_fixes WHERE seq%4=0) SELECT trip_id, x, y FROM pt EXCEPT SELECT trip_id, x, y FROM r")
+def prefetched_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of live paths but for the newest 15 fixes, that weren't asked for yet."""
+    f = load(spark, d, "d_fixes")
+    asked = f.where("seq % 4 = 0").select("trip_id", geo.tile_x(F.col("lon")).alias("x"), geo.tile_y(F.col("lat")).alias("y")).distinct()
+    return tiles.new_tiles(f, asked)
+
+
+@query(f"""WITH t AS ({_TAGS}) SELECT d.way_id, d.i, d.node_id, round(d.lat,6) AS lat, round(d.lon,6) AS lon, t.highway FROM d_vertices d JOIN t ON t.way_id=d.way_id WHERE t.highway NOT IN ('service','track') AND d.node_id%7>0""")
+def exploded_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Ways of an extract's tables; nodes that the extract lacks are left out."""
+    load(spark, d, "part")
+    v = load(spark, d, "d_vertices")
+    nodes = v.where("node_id % 7 > 0").groupBy("node_id").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"))
+    ways = osm.exploded_ways(nodes, v.select("way_id", "i", "node_id"), spark.sql(_TAGS))
+    return ways.select("way_id", "i", "node_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "highway")
+
+
 @query("""WITH c AS (SELECT DISTINCT trip_id, CAST(floor(lat/0.0025) AS BIGINT)+dy AS cy, CAST(floor(lon/0.0025) AS BIGINT)+dx AS cx FROM d_fixes, (SELECT unnest([-1,0,1]) AS dy) a, (SELECT unnest([-1,0,1]) AS dx) b),
  g AS (SELECT way_id, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM d_vertices WINDOW w AS (PARTITION BY way_id ORDER BY i)),
  m AS (SELECT *, greatest(1, CAST(ceil(sqrt(power((lat2-lat)*111320,2)+power((lon2-lon)*111320*cos(radians((lat+lat2)/2)),2))/150) AS BIGINT)) AS steps FROM g WHERE lat2 IS NOT NULL),

@@ -353,9 +353,10 @@ def key_invariant(spark: SparkSession, d: str) -> DataFrame:
     return sinks.unmatched_keys(n.where("region_id % 5 <> 0"), n.where("region_id % 4 <> 0"))
 
 
-@query("SELECT i AS way_id, 4 AS n_points FROM (SELECT unnest(generate_series(0, 49999)) AS i) q")
+@query("SELECT p_partkey*25+k AS way_id, 4 AS n_points FROM part CROSS JOIN (SELECT unnest(generate_series(0, 24)) AS k) q")
 def synthetic_ways(spark: SparkSession, d: str) -> DataFrame:
-    """The stress set of 50,000 short ways around a centre, places by seeded hashes."""
-    u = lambda k: F.pmod(F.xxhash64("id", F.lit(42), F.lit(k)), F.lit(1_000_003)) / 1_000_003.0
-    v = spark.range(50_000).select(F.col("id").alias("way_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"), (F.lit(48.0) + u(1) * 4 + F.col("i") * 0.0005).alias("lat"), (F.lit(7.0) + u(2) * 6 + F.col("i") * 0.0007).alias("lon"))
+    """A stress set of 25 short ways to each part, around a centre, places by seeded hashes."""
+    u = lambda k: F.pmod(F.xxhash64("way_id", F.lit(42), F.lit(k)), F.lit(1_000_003)) / 1_000_003.0
+    ways = load(spark, d, "part").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda k: F.col("p_partkey") * 25 + k)).alias("way_id"))
+    v = ways.select("way_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"), (F.lit(48.0) + u(1) * 4 + F.col("i") * 0.0005).alias("lat"), (F.lit(7.0) + u(2) * 6 + F.col("i") * 0.0007).alias("lon"))
     return v.groupBy("way_id").agg(F.count("*").alias("n_points"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import coverage, matching
 from ..sources.views import load, oracle
-from . import domain, inbox, live, models, stores  # noqa: F401  they add their queries to domain's
+from . import domain, inbox, live, models, rules, stores  # noqa: F401  they add their queries to domain's
 from .relational import _A, _HAV, _LAG, SQL, UNION, WAYS
 
 
@@ -128,18 +128,8 @@ _ORACLES = {
 }
 
 
-def _sql(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    needs, text = SQL[name]
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        load(spark, d, *needs)
-        return spark.sql(text)
-
-    return run
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _DATAFRAME} | {name: _sql(name) for name in SQL} | domain.FOUND
+    return {f.__name__: f for f in _DATAFRAME} | rules.FOUND | domain.FOUND
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,4 +1,4 @@
-"""Read models, lifecycle rules and scalar rules as SQL text that Spark runs; DuckDB runs the same text as the check."""
+"""SQL that DuckDB runs as the check of the queries in rules.py, and parts of other queries' SQL."""
 
 from __future__ import annotations
 
