@@ -198,3 +198,30 @@ def test_new_queries_equal_their_sql(spark, name):
     df = queries.queries()[name](spark, sf)
     got = sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
     assert got == sorted(c.sql(queries.oracle_sql()[name]).select(*sorted(df.columns)).fetchall(), key=repr)
+
+
+def test_scratch_stays_in_shared_folders(spark):
+    from wayfold.llm import scratch
+
+    assert scratch.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    kept = spark.conf.get("spark.checkpoint.dir")
+
+    class Unset:
+        class conf:
+            get = staticmethod(lambda k, *d: {"spark.sql.warehouse.dir": "hdfs://x/warehouse/"}.get(k, *d))
+
+    assert kept and scratch.shared_dir(Unset) == "hdfs://x/warehouse/scratch"
+
+
+def test_token_counts_of_one_repeated_id(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    from wayfold.llm import token_counts
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [f"road number {i % 9}  turns\nleft {'é' * (i % 4)}" for i in range(5000)]
+    d = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string")
+    got = sorted(r.n_tokens for r in token_counts.token_counts(d, path).collect())
+    assert got == sorted(len(model.encode(t)) for t in texts)

@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests, one machine) a new local folder, kept in the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("wayfold.scratch.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-wayfold-")
-        spark.conf.set("wayfold.scratch.dir", found)
-    return found.rstrip("/")
+    """spark.checkpoint.dir of the session; where it is unset a folder of the warehouse, which executors share as well. No machine's own folder is used."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch").rstrip("/")
 
 
 #: Tables after which unused plans and shuffles are released.

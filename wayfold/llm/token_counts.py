@@ -3,7 +3,8 @@
 A text is cut where no piece of the model can reach across: before every run of spaces and around line feeds that the
 model has no piece for. The units' lengths are additive. Lengths of the most frequent units of a bounded sample are
 broadcast as a hash table; each worker encodes the units that the table misses once and keeps them in a bounded cache.
-No unit is ever shuffled. The sample decides only how often a worker has to encode, never a count.
+No unit is ever shuffled: the sample's texts, SAMPLE at most, are counted by one task. The sample decides only how often a worker
+has to encode, never a count.
 
 Null texts count as empty (0 tokens). Units too long to repeat are encoded without being kept. Texts with characters
 that the cut can't be proven for (the space mark itself, NUL, white space other than space and line feed, or any
@@ -13,6 +14,7 @@ character beyond the basic plane's ordinary text that the model's normaliser may
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,22 +68,27 @@ def units(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter = Counter()
     for b in batches:
-        found = [u for t in b.column(0).to_pylist() if t and not _ODD.search(t) for u in units(t) if 0 < len(u) <= LONGEST]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["unit"])
+        for t in b.column(0).to_pylist():
+            if t and not _ODD.search(t):
+                seen.update(u for u in units(t) if 0 < len(u) <= LONGEST)
+            if len(seen) > 4 * TABLE:
+                seen = Counter(dict(seen.most_common(TABLE)))
+    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in seen.most_common(TABLE)], pa.string())], ["unit"])
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), one row for each row."""
     spark = docs.sparkSession
     every = max(1, docs.count() // SAMPLE)
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(every)) == 0).select("text")
-    top = picked.mapInArrow(_sampled, "unit string").groupBy("unit").count().orderBy(F.desc("count"), "unit").limit(TABLE)
+    # the limit holds where a repeated id would pick all rows, and brings the sample into one task
+    top = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(every)) == 0).select("text").limit(SAMPLE).mapInArrow(_frequent, "unit string")
     model = _model(model_path)
     cut = cuts_allowed(model)
     lengths = _Lengths(model, {})
-    frequent = spark.sparkContext.broadcast({r[0]: lengths[r[0]] for r in top.select("unit").collect()} if cut else {})
+    frequent = spark.sparkContext.broadcast({r[0]: lengths[r[0]] for r in top.collect()} if cut else {})
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path)
