@@ -485,6 +485,31 @@ def test_embedding_recall_at_the_threshold(spark):
     assert np.mean([got[2 * k] == got[2 * k + 1] for k in range(400)]) >= 0.9
 
 
+def test_embedding_recall_in_a_clump(spark, monkeypatch):
+    """A third of a label lies in a clump of loosely similar vectors: without more passes than even bits need, links are lost."""
+    r = np.random.default_rng(21)
+    d, n = 32, 2400
+    centre = r.standard_normal(d)
+    x = r.standard_normal((n, d))
+    x[: n // 3] = centre / np.linalg.norm(centre) + 0.5 * x[: n // 3] / np.sqrt(d)
+    near = r.integers(0, n // 3, 300)
+    x[n // 3 : n // 3 + 300] = x[near] + 0.30 * r.standard_normal((300, d)) / np.sqrt(d)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    true = np.triu(x @ x.T >= 0.93, 1)
+    rows = [(i, v.tolist(), 1, "") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links string")
+    got = {y.vec_id: y for y in embedding_dedup.near_duplicates(df).collect()}
+    a, b = np.nonzero(true)
+    assert len(a) > 300 and sum(y.n_links for y in got.values()) >= 2 * 0.95 * len(a)
+    assert sum(y.n_links for y in got.values()) <= 2 * len(a)
+
+
+def test_more_passes_follow_the_measured_recall():
+    more = embedding_dedup.more_passes
+    assert more(5, 0, 0) == 0 and more(5, 100, 97) == 0 and more(64, 100, 1) == 0
+    assert more(5, 100, 90) == 3 and more(5, 100, 0) == 10 and more(60, 100, 10) == 4
+
+
 def test_quality(spark, empty):
     r = random.Random(9)
     rows, labels = [], []

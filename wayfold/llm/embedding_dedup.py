@@ -3,10 +3,11 @@
 Each pass hashes every vector to a row of bits (signs of seeded random projections) and sorts the vectors of all labels
 by (label, bits) over range partitions. Each vector is compared exactly with the WINDOW next ones; windows go on over
 partition borders. Pairs with a cosine of at least the threshold, in double precision, are links; a task hands on a
-spanning forest of the links it finds, and passes are united by distributed union-find. The number of passes follows from the largest label's size, so that a pair at the threshold
-is found with probability RECALL: longer sorted runs need more leading bits to agree. That takes bits to be evenly spread;
-in a dense clump of loosely similar vectors (say a third of a label at mutual cosine 0.85) the recall is lower. Passes grow
-with the 0.18th power of the largest label.
+spanning forest of the links it finds, and passes are united by distributed union-find. How many passes there are follows first
+from the largest label's size, so that a pair at the threshold is found with probability RECALL where bits are evenly
+spread: longer sorted runs need more leading bits to agree. In a dense clump of loosely similar vectors a bit tells less. So
+the recall is measured: SAMPLE vectors are compared with all vectors, exactly, and while less than RECALL of their
+links lie in one component, as many passes more are run as the measured chance of a pass asks for (MOST in all at most; then the recall is what it is).
 
 Windows bound what one pass compares. For groups with more members than a window holds, the pairs inside each component
 are then compared whole, block against block, so that links are counted exactly however large the component is: blocks
@@ -30,6 +31,8 @@ from .scratch import Scratch
 
 #: Neighbours that a vector is compared with in a pass, probability that a pair at the threshold is found, bits of a key, members of a block.
 WINDOW, RECALL, BITS, BLOCK = 48, 0.97, 48, 512
+#: Vectors whose links are all looked up to measure the recall (bound on what is broadcast), and most passes.
+SAMPLE, MOST = 512, 64
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -170,6 +173,37 @@ def _counts(threshold: float):
     return rows
 
 
+def _measured(sample: list[tuple], threshold: float):
+    """Rows (vec_id, label, root, embedding) -> how many links with sampled vectors they have, and how many of these lie in one component."""
+    ids, labels, roots = (np.array([s[k] for s in sample], np.int64) for k in range(3))
+    by_size = {d: np.flatnonzero([len(s[3]) == d for s in sample]) for d in {len(s[3]) for s in sample}}
+    units = {d: np.array([sample[i][3] for i in at]) for d, at in by_size.items()}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = found = 0
+        for b in batches:
+            own, label, root = (np.array(b.column(k).to_pylist(), np.int64) for k in range(3))
+            x = [_list(v.as_py()) for v in b.column(3)]
+            for d, at in by_size.items():
+                mine = np.flatnonzero([len(v) == d for v in x])
+                if len(mine):
+                    near = (np.array([x[i] for i in mine]) @ units[d].T >= threshold) & (label[mine][:, None] == labels[at]) & (own[mine][:, None] != ids[at])
+                    links += int(near.sum())
+                    found += int((near & (root[mine][:, None] == roots[at])).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([links]), pa.array([found])], ["links", "found"])
+
+    return rows
+
+
+def more_passes(done: int, links: int, found: int) -> int:
+    """Passes to run after so many, of which a share `found` of all links came out."""
+    if not links or found >= RECALL * links or done >= MOST:
+        return 0
+    once = 1 - (1 - found / links) ** (1 / done)
+    wanted = MOST if once <= 0 else math.ceil(math.log(1 - RECALL) / math.log(1 - once))
+    return min(max(wanted - done, 1), MOST - done, 2 * done)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """(vec_id, embedding, label) -> vec_id, n_links, component_id, kept, one row for each row.
 
@@ -192,18 +226,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     reps = scratch.save(unit.join(classes.select(F.col("rep").alias("vec_id"), "label", "h", "g", "size"), ["vec_id", "label", "h", "g"]).dropDuplicates(["vec_id", "label"]).select("vec_id", "label", "embedding", "size"), "reps")
     largest_label = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
 
-    found = []
-    for turn in range(passes(largest_label, threshold)):
-        keyed = reps.select("vec_id", "label", "embedding").mapInArrow(_keyed(turn), "vec_id long, label int, embedding array<double>, key long")
-        order = keyed.repartitionByRange("label", "key", "vec_id").sortWithinPartitions("label", "key", "vec_id")
-        pairs = scratch.save(order.drop("key").mapInPandas(_windows(threshold), _PAIRS), "pass")
-        over = pairs.where("edge > 0").groupBy("edge").applyInPandas(_borders(threshold), "a long, b long")
-        found.append(pairs.where("edge = -1").select("a", "b").union(over))
-    links = found[0]
-    for more in found[1:]:
-        links = links.union(more)
     same_id = of.select(F.col("vec_id").alias("a"), F.col("rep").alias("b")).where("a <> b").join(of.select(F.col("rep").alias("a")).distinct(), "a")
-    roots = components(links.union(same_id), scratch)
+    links, done, wanted = same_id, 0, passes(largest_label, threshold)
+    every = max(1, reps.count() // SAMPLE)
+    while wanted:
+        for turn in range(done, done + wanted):
+            keyed = reps.select("vec_id", "label", "embedding").mapInArrow(_keyed(turn), "vec_id long, label int, embedding array<double>, key long")
+            order = keyed.repartitionByRange("label", "key", "vec_id").sortWithinPartitions("label", "key", "vec_id")
+            pairs = scratch.save(order.drop("key").mapInPandas(_windows(threshold), _PAIRS), "pass")
+            over = pairs.where("edge > 0").groupBy("edge").applyInPandas(_borders(threshold), "a long, b long")
+            links = links.union(pairs.where("edge = -1").select("a", "b").union(over))
+        done += wanted
+        roots = components(links, scratch)
+        rooted = reps.join(roots.withColumnRenamed("id", "vec_id"), "vec_id", "left").select("vec_id", "label", F.coalesce("root", "vec_id").alias("root"), "embedding")
+        sample = [tuple(r) for r in rooted.where(F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(every)) == 0).limit(SAMPLE).collect()]
+        m = rooted.mapInArrow(_measured(sample, threshold), "links long, found long").agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first() if sample else (0, 0)
+        wanted = more_passes(done, *m)
 
     # links inside components, block against block
     members = scratch.save(reps.join(roots, reps.vec_id == roots.id).select("id", "root", "label", "embedding", F.col("size").alias("weight")), "members")
