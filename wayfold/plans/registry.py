@@ -123,6 +123,8 @@ _ORACLES = {
     "emission_logprob": "SELECT trip_id, seq, round(-0.5*power(speed_kmh/4/greatest(4.07,acc/2),2)-ln(greatest(4.07,acc/2)*2.5066282746310002),6) AS emit FROM d_fixes",
     "segments_explode": f"WITH {_SEG} SELECT way_id, seg_idx, a_node, b_node, round(seg_len,3) AS seg_len, round(coalesce(sum(seg_len) OVER (PARTITION BY way_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0),3) AS from_m FROM h",
     "candidates_topk": f"WITH {_SEG}, {_CAND} SELECT trip_id, seq, cand_rank, way_id, round(dist,3) AS dist, round(emit,4) AS emit FROM n",
+    "result_counters": f"""WITH {_SEG}, {_CAND}, b AS (SELECT f.trip_id, f.seq, coalesce(max(emit)>=ln(0.001), FALSE) AS ok FROM f LEFT JOIN n ON n.trip_id=f.trip_id AND n.seq=f.seq GROUP BY 1, 2)
+ SELECT trip_id, count(*) AS n, count(*) FILTER (ok) AS matched, count(*) FILTER (NOT ok) AS dropped FROM b GROUP BY trip_id""",
     "low_confidence_drop": f"""WITH {_SEG}, {_CAND}, b AS (SELECT f.trip_id, f.seq, coalesce(max(emit)>=ln(0.001), FALSE) AS ok FROM f LEFT JOIN n ON n.trip_id=f.trip_id AND n.seq=f.seq GROUP BY 1, 2),
  o AS (SELECT *, CASE WHEN ok AND (NOT coalesce(lag(ok) OVER w, FALSE) OR (seq-lag(seq) OVER w)*5>60) THEN 1 ELSE 0 END AS new FROM b WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) SELECT trip_id, count(*) FILTER (ok) AS n_fixes, sum(new) AS n_tracks FROM o GROUP BY trip_id HAVING count(*) FILTER (ok)>0""",
 }
