@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
