@@ -42,6 +42,8 @@ from .scratch import Scratch
 SAMPLE, HOT_BITS, HOT_LIMIT = 4096, 22, 65_536
 #: Bits of a set's bitmap, by which a candidate's difference is bounded: a power of two, four for each shingle, between these.
 BITS_LEAST, BITS_MOST = 512, 1 << 18
+#: Slots of candidates' ids, broadcast to drop other texts before a shuffle (bound on the rows broadcast).
+SLOTS = 1 << 20
 #: Buckets of up to this many sets are compared pair by pair at once; of up to so many by a join once leads have been
 #: compared; larger ones block against block, in blocks of so many sets.
 SMALL, JOINED, BLOCK = 3, 64, 512
@@ -317,20 +319,13 @@ def _verified(percent: int):
 
 
 def _check(pairs: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose texts reach the similarity. Only candidates' texts are shuffled, past a filter of fixed size."""
-    bits = 1 << 20
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
-    ends = pairs.select("a").union(pairs.select("b"))
-    taken = np.zeros(bits, bool)
-    taken[[r[0] for r in ends.select(slot(F.col("a"))).distinct().toLocalIterator()]] = True
-    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(taken))
-
-    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = np.unpackbits(flags.value).astype(bool)
-        for b in batches:
-            yield b.select([0, 1]).filter(pa.array(f[b.column(2).to_numpy(zero_copy_only=False)]))
+    """Those of the distinct pairs (a, b) whose texts reach the similarity.
 
-    texts = docs.where("doc_id is not null").select("doc_id", "text", slot(F.col("doc_id")).alias("slot")).mapInArrow(passed, "doc_id long, text string")
+    Only candidates' texts are shuffled: others are dropped at the scan by the slots of their ids, SLOTS of them at most.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int").alias("slot")
+    taken = pairs.select(slot("a")).union(pairs.select(slot("b"))).distinct()
+    texts = docs.where("doc_id is not null").select("doc_id", "text", slot("doc_id")).join(F.broadcast(taken), "slot", "left_semi")
     one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return scratch.save(two.select("a", "b", "text_a", "text_b").mapInArrow(_verified(percent), "a long, b long"), "verified")
