@@ -107,6 +107,41 @@ def test_ngram_components_equal_brute_force(docs, empty):
     assert ngram_join.ngram_components(empty).count() == 0
 
 
+def test_ngram_components_across_blocks(spark, monkeypatch):
+    """A clump whose buckets are far above JOINED sets, around the threshold: blocks are held against blocks, and nothing is lost or added."""
+    monkeypatch.setattr(ngram_join, "JOINED", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    r = random.Random(12)
+    base, texts = sentence(r, 160).split(), []
+    for i in range(90):
+        w = list(base)
+        for _ in range(r.choice([3, 4, 5, 6])):
+            w[r.randrange(len(w))] = f"changed{i}"
+        texts.append(" ".join(w))
+    sets, parent = [shingle_set(t) for t in texts], {}
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                union(parent, a, b)
+    expected = {i: find(parent, i) for i in range(len(texts))}
+    assert 5 < len(set(expected.values())) < 85
+    ran, crossing = spark.sparkContext.accumulator(0), ngram_join._crossing
+
+    def counted(percent):
+        rows = crossing(percent)
+
+        def run(f):
+            ran.add(1)
+            return rows(f)
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_crossing", counted)
+    found = ngram_join.ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in found} == expected
+    assert ran.value > 1
+
+
 def test_signatures_meet_for_every_similar_pair():
     """Any two sets that reach the similarity share a signature, at all sizes and with hot shingles."""
     r = np.random.default_rng(4)

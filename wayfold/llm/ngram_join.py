@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -275,27 +274,28 @@ def _possible(percent: int):
 def _crossing(percent: int):
     """Two blocks of a bucket -> the pairs of different components whose bitmaps leave the similarity possible."""
 
-    def rows(f: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(f.i.iloc[0]), int(f.j.iloc[0])
-        width = f.bits.map(len)
-        out = []
-        for u in sorted(set(width)):
-            for v in (x for x in sorted(set(width)) if u <= 2 * x and x <= 2 * u):  # sizes further apart exclude each other
-                l, r = f[(f.block == i) & (width == u)], f[(f.block == j) & (width == v)]
-                if not len(l) or not len(r):
+    def rows(f: pa.Table) -> pa.Table:
+        i, j = f["i"][0].as_py(), f["j"][0].as_py()
+        block, size, ids, root, large = (f[c].to_numpy() for c in ("block", "size", "id", "root", "large"))
+        bits = f["bits"].combine_chunks()
+        width = np.array([len(x.as_buffer()) for x in bits], np.int64)
+        out = [np.zeros((2, 0), np.int64)]
+        for u in np.unique(width):
+            for v in (x for x in np.unique(width) if u <= 2 * x and x <= 2 * u):  # sizes further apart exclude each other
+                left, right = np.flatnonzero((block == i) & (width == u)), np.flatnonzero((block == j) & (width == v))
+                if not len(left) or not len(right):
                     continue
-                words = min(u, v) // 8
-                a, b = (_folded(_stacked(list(x.bits)), words) for x in (l, r))
-                n, ids, root, large = ([x[c].to_numpy() for x in (l, r)] for c in ("size", "id", "root", "large"))
-                step = max(1, (1 << 22) // (len(r) * words))
-                for lo in range(0, len(l), step):
-                    at = slice(lo, lo + step)
-                    ok = (root[0][at][:, None] != root[1]) & ((large[0][at][:, None] == 0) | (large[1] == 0))
-                    ok &= _near(a[at][:, None], b[None], n[0][at][:, None] + n[1], percent)
+                words = int(min(u, v)) // 8
+                a, b = (_folded(_stacked(bits.take(pa.array(x)).to_pylist()), words) for x in (left, right))
+                step = max(1, (1 << 22) // (len(right) * words))
+                for lo in range(0, len(left), step):
+                    l = left[lo : lo + step]
+                    ok = (root[l][:, None] != root[right]) & ((large[l][:, None] == 0) | (large[right] == 0))
+                    ok &= _near(a[lo : lo + step][:, None], b[None], size[l][:, None] + size[right], percent)
                     x, y = np.nonzero(ok)
-                    out.append(np.sort(np.stack([ids[0][at][x], ids[1][y]]), 0))
-        a, b = np.concatenate(out, 1) if out else (np.zeros(0, np.int64),) * 2
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+                    out.append(np.sort(np.stack([ids[l[x]], ids[right[y]]]), 0))
+        a, b = np.unique(np.concatenate(out, 1), axis=1)
+        return pa.table({"a": a, "b": b})
 
     return rows
 
@@ -409,7 +409,7 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     blocks = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
     dealt = sized.where(F.col("m") > JOINED).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("sig", "id", "root", "large", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dealt = dealt.join(bitmaps.withColumnRenamed("rep", "id"), "id").groupBy("sig", "i", "j").applyInPandas(_crossing(percent), "a long, b long")
+    dealt = dealt.join(bitmaps.withColumnRenamed("rep", "id"), "id").groupBy("sig", "i", "j").applyInArrow(_crossing(percent), "a long, b long")
     more = verified(small.union(dealt))
     roots = components(links.union(more), scratch)
     scratch.drop(runs, pairs, bitmaps, classes)
