@@ -26,3 +26,10 @@ def test_copies_of_a_segment_do_not_meet_fixes(spark):
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Join") :]
     assert "alat" in below and "WindowGroupLimit" in below  # copies are left out before the join
+
+
+def test_corridor_counts_ways_without_a_row_for_each(spark):
+    segs = matching.segments(_copies(spark, 40))
+    got = [tuple(r) for r in matching.corridor_counts(_fixes(spark), segs).collect()]
+    assert got == [(1, matching.corridor(_fixes(spark), segs).count())] == [(1, 41)]
+
