@@ -33,3 +33,34 @@ def test_corridor_counts_ways_without_a_row_for_each(spark):
     got = [tuple(r) for r in matching.corridor_counts(_fixes(spark), segs).collect()]
     assert got == [(1, matching.corridor(_fixes(spark), segs).count())] == [(1, 41)]
 
+
+def test_equal_ways_are_one_link(spark):
+    rows = {r.way_id: r.links for r in matching.links(matching.segments(_copies(spark, 30))).collect()}
+    assert len({str(rows[k]) for k in range(1, 31)}) == 1 and [(x.u, x.v, len(x.lens)) for x in rows[1]] == [(-1, -2, 3)]
+
+
+def test_routes_over_links_equal_routes_over_segments():
+    """Searches begin and end at inner nodes, on one link, on equal ones and on a loop."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        found, plain, free = [], {}, 100
+        for _ in range(rng.randint(2, 9)):
+            u, v = rng.randrange(5), rng.randrange(5)
+            lens = tuple(rng.choice((1.1, 2.3, 0.7)) for _ in range(rng.randint(1, 4)))
+            nodes = tuple(range(free, free + len(lens) - 1))
+            free += len(nodes)
+            found.append((u, v, lens, nodes))
+            for a, b, x in zip((u, *nodes), (*nodes, v), lens, strict=True):
+                plain.setdefault(a, []).append((b, x))
+                plain.setdefault(b, []).append((a, x))
+        roads, single = matching.Roads(found), matching.Roads.plain(plain)
+        for a in plain:
+            for b in plain:
+                assert roads.metres(a, b, 1e9) == single.metres(a, b, 1e9)
+
+
+def test_equal_places_share_one_search():
+    roads = matching.Roads([(1, 2, (5.0, 5.0), (10 + k,)) for k in range(50)])
+    assert {roads.metres(10 + k, 2, 100.0) for k in range(50)} == {5.0} and len(roads.searches) == 1 and len(roads.graph[1]) == 1
