@@ -64,3 +64,11 @@ def test_routes_over_links_equal_routes_over_segments():
 def test_equal_places_share_one_search():
     roads = matching.Roads([(1, 2, (5.0, 5.0), (10 + k,)) for k in range(50)])
     assert {roads.metres(10 + k, 2, 100.0) for k in range(50)} == {5.0} and len(roads.searches) == 1 and len(roads.graph[1]) == 1
+
+
+def test_clip_queries_take_all_driven_ways(spark):
+    from wayfold.plans import registry
+
+    for name in ("clip_stretches", "clip_driven_ways"):
+        left = {r.way_id % 5 for r in registry.queries()[name](spark, "/root/testdata/sf0.001").select("way_id").distinct().collect()}
+        assert left == {0, 1, 2, 3, 4} and "%5" not in registry.oracle_sql()[name].split("d_region_edges")[0].split("en AS")[1]
