@@ -72,3 +72,12 @@ def test_clip_queries_take_all_driven_ways(spark):
     for name in ("clip_stretches", "clip_driven_ways"):
         left = {r.way_id % 5 for r in registry.queries()[name](spark, "/root/testdata/sf0.001").select("way_id").distinct().collect()}
         assert left == {0, 1, 2, 3, 4} and "%5" not in registry.oracle_sql()[name].split("d_region_edges")[0].split("en AS")[1]
+
+
+def test_regions_of_all_trips_are_affected(spark):
+    from wayfold.plans import domain
+
+    d = "/root/testdata/sf0.001"
+    touched = {r.region_id for r in domain._touched(spark, d)[0].collect()}
+    kept = {r.region_id for r in domain.invalidate_regions(spark, d).collect()}
+    assert len(touched) == 10 and not touched & kept and "min(trip_id)" not in domain.ORACLES["affected_regions"] + domain.ORACLES["invalidate_regions"]
