@@ -81,3 +81,29 @@ def test_regions_of_all_trips_are_affected(spark):
     touched = {r.region_id for r in domain._touched(spark, d)[0].collect()}
     kept = {r.region_id for r in domain.invalidate_regions(spark, d).collect()}
     assert len(touched) == 10 and not touched & kept and "min(trip_id)" not in domain.ORACLES["affected_regions"] + domain.ORACLES["invalidate_regions"]
+
+
+def test_places_on_a_border_fall_as_the_even_odd_test_lets_them(spark):
+    """Places that lie on slanting borders up to rounding, in cells of their own corners, against the test over all edges."""
+    import random
+
+    from wayfold.operators import regionindex
+
+    rng, edges, places = random.Random(11), [], []
+    for t in range(4):
+        for c in range(4):
+            y0, y1, xa, xb = 49.4995 + t * 0.037, 49.4995 + (t + 1) * 0.037, 8.993 + c * 0.029 + t * 0.001, 8.993 + (c + 1) * 0.029 + t * 0.001
+            p = [(xa, y0), (xb, y0), (xb + 0.001, y1), (xa + 0.001, y1)]
+            edges += [(t * 4 + c, 6, t * 4 + c, *p[k], *p[(k + 1) % 4]) for k in range(4)]
+    for k in range(3000):
+        _, _, _, xi, yi, xj, yj = rng.choice(edges)
+        u = rng.random()
+        places.append((k, yi + (yj - yi) * u, xi + (xj - xi) * u))
+    e = spark.createDataFrame(edges, "region_id int, level int, ord int, xi double, yi double, xj double, yj double")
+    got = {(r.id, r.region_id) for r in regionindex.located(spark.createDataFrame(places, "id int, lat double, lon double"), regionindex.region_cells(e)).collect()}
+    odd: dict = {}
+    for k, lat, lon in places:
+        for r, _, _, xi, yi, xj, yj in edges:
+            if (yi > lat) != (yj > lat) and lon < (xj - xi) * (lat - yi) / ((yj - yi) + 1e-30) + xi:
+                odd[k, r] = odd.get((k, r), 0) + 1
+    assert got == {x for x, n in odd.items() if n % 2}

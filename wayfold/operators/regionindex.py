@@ -2,7 +2,7 @@
 
 Edges are dealt to the cells of their own boxes. Each row of cells is cut by its middle line once: the sorted crossings say which
 cells' left ends lie inside. A cell without an edge is inside or outside as a whole and needs no test; in a border cell the way from its left end to a place,
-along the row and then up or down, stays in the cell, so only the cell's own edges can change the answer.
+up or down and then along the place's own latitude, stays in the cell, so only the cell's own edges can change the answer.
 """
 
 from __future__ import annotations
@@ -25,14 +25,19 @@ def _between(a: Column, b: Column) -> Column:
     return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<long>"))
 
 
-def _cross(e: Column, along: str, at: Column) -> Column:
-    """Where an edge meets a line: x of its meeting with y = at, or y with x = at."""
-    x, y = ("x", "y") if along == "y" else ("y", "x")
-    return (e[f"{x}j"] - e[f"{x}i"]) * F.try_divide(at - e[f"{y}i"], e[f"{y}j"] - e[f"{y}i"]) + e[f"{x}i"]
+def _cross(e: Column, at: Column) -> Column:
+    """x of an edge's meeting with y = at, in the even-odd test's own order of operations, so that places on a border fall as the test lets them."""
+    return (e["xj"] - e["xi"]) * (at - e["yi"]) / ((e["yj"] - e["yi"]) + F.lit(1e-30)) + e["xi"]
 
 
-def _over(e: Column, axis: str, at: Column) -> Column:
-    return (e[f"{axis}i"] > at) != (e[f"{axis}j"] > at)
+def _over(e: Column, at: Column) -> Column:
+    return (e["yi"] > at) != (e["yj"] > at)
+
+
+def _side(e: Column, at: Column, upper: bool, end: Column) -> Column:
+    """Whether an edge runs right of x = end at y = at, or at its own upper or lower point where it doesn't come so far."""
+    low, high = F.when(e["yi"] < e["yj"], e["xi"]).otherwise(e["xj"]), F.when(e["yi"] < e["yj"], e["xj"]).otherwise(e["xi"])
+    return end < F.when(_over(e, at), _cross(e, at)).otherwise(high if upper else low)
 
 
 def _middle(cy: Column) -> Column:
@@ -49,11 +54,11 @@ def region_cells(edges: DataFrame, keep: tuple[str, ...] = ("level", "ord")) ->
     rows = e.withColumn("cy", F.explode(_between(F.col("y0"), F.col("y1"))))
     border = rows.withColumn("cx", F.explode(_between(F.col("x0"), F.col("x1")))).groupBy(*by, "cy", "cx").agg(F.collect_list("e").alias("ring"))
     line = _middle(F.col("cy"))
-    cuts = rows.where(_over(F.col("e"), "y", line)).groupBy(*by, "cy").agg(F.sort_array(F.collect_list(_cross(F.col("e"), "y", line))).alias("xs"))
+    cuts = rows.where(_over(F.col("e"), line)).groupBy(*by, "cy").agg(F.sort_array(F.collect_list(_cross(F.col("e"), line))).alias("xs"))
     pairs = F.transform(F.filter("xs", lambda x, k: k % 2 == 0), lambda x, k: F.struct(x.alias("a"), F.get("xs", (2 * k + 1).cast("int")).alias("b")))
     within = cuts.select(*by, "cy", F.explode(pairs).alias("p")).select(*by, "cy", F.explode(_between(_cell(F.col("p.a")), _cell(F.col("p.b")))).alias("cx")).distinct()
     cells = within.join(border, [*by, "cy", "cx"], "full").join(cuts, [*by, "cy"], "left")
-    left = F.size(F.filter(F.coalesce("xs", F.array().cast("array<double>")), lambda x: x < F.col("cx") * F.lit(CELL))) % 2 == 1
+    left = F.size(F.filter(F.coalesce("xs", F.array().cast("array<double>")), lambda x: x <= F.col("cx") * F.lit(CELL))) % 2 == 1
     cells = cells.select("cy", "cx", *by, left.alias("corner"), F.coalesce("ring", F.array().cast("array<struct<xi:double,yi:double,xj:double,yj:double>>")).alias("ring"))
     return cells.where("corner or size(ring) > 0")
 
@@ -61,8 +66,10 @@ def region_cells(edges: DataFrame, keep: tuple[str, ...] = ("level", "ord")) ->
 def is_inside(lat: Column, lon: Column) -> Column:
     """Whether a place in the cell of a joined row is inside its region."""
     row, end = _middle(F.col("cy")), F.col("cx") * F.lit(CELL)
-    across = F.filter("ring", lambda e: _over(e, "y", row) & ((_cross(e, "y", row) < lon) != (_cross(e, "y", row) < end)))
-    up = F.filter("ring", lambda e: _over(e, "x", lon) & ((_cross(e, "x", lon) > row) != (_cross(e, "x", lon) > lat)))
+    low, high = F.least(row, lat), F.greatest(row, lat)
+    passed = lambda e: (F.least(e["yi"], e["yj"]) <= high) & (F.greatest(e["yi"], e["yj"]) > low)
+    up = F.filter("ring", lambda e: passed(e) & (_side(e, low, False, end) != _side(e, high, True, end)))
+    across = F.filter("ring", lambda e: _over(e, lat) & ((lon < _cross(e, lat)) != (end < _cross(e, lat))))
     return (F.size(across) + F.size(up) + F.col("corner").cast("int")) % 2 == 1
 
 
