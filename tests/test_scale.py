@@ -107,3 +107,11 @@ def test_places_on_a_border_fall_as_the_even_odd_test_lets_them(spark):
             if (yi > lat) != (yj > lat) and lon < (xj - xi) * (lat - yi) / ((yj - yi) + 1e-30) + xi:
                 odd[k, r] = odd.get((k, r), 0) + 1
     assert got == {x for x, n in odd.items() if n % 2}
+
+
+def test_synthetic_ways_hold_no_table_of_ways_in_a_task(spark):
+    from wayfold.plans import registry
+
+    df = registry.queries()["synthetic_ways"](spark, "/root/testdata/sf0.001")
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() == 25 * 200 and df.where("n_points <> 4").count() == 0 and dict(df.dtypes)["n_points"] == "bigint"
