@@ -215,6 +215,19 @@ def test_line_dedup_equals_brute_force_on_character_shingles(spark):
     assert len(true) > 60 and got <= true and len(got) >= 0.95 * len(true)
 
 
+def test_line_dedup_excludes_short_lines_by_their_hashes(spark):
+    """Lines with all their hashes at hand are held against each other's whole sets, not taken as likely for their shortness."""
+    letters = "".join(chr(0x4E00 + k) for k in range(80)) + "🙂" * 9
+    lines = [letters, letters[:-3] + "xyz", letters[:40] + letters[:39:-1], "abc", "abc\r", "abcdefg🙂", "🙂"]
+    d = spark.createDataFrame(list(enumerate(lines)), "id long, clean string")
+    lows = line_dedup._lows(d).join(d, "id")
+    both = lows.alias("a").crossJoin(lows.alias("b")).select("a.id", F.col("b.id").alias("other"), line_dedup._likely(F.col("a.low"), F.col("b.low"), 75).alias("likely"), line_dedup._similar("a.clean", "b.clean", 75).alias("similar"))
+    sets = [{t[i : i + 7] for i in range(max(1, len(t) - 6))} for t in lines]
+    for r in both.collect():
+        x, y = sets[r.id], sets[r.other]
+        assert r.likely == r.similar == (100 * len(x & y) >= 75 * len(x | y)), (r.id, r.other)
+
+
 def test_token_counts_equal_the_library(docs, empty):
     import public_tokenizers
     import sentencepiece
