@@ -115,3 +115,13 @@ def test_synthetic_ways_hold_no_table_of_ways_in_a_task(spark):
     df = registry.queries()["synthetic_ways"](spark, "/root/testdata/sf0.001")
     assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert df.count() == 25 * 200 and df.where("n_points <> 4").count() == 0 and dict(df.dtypes)["n_points"] == "bigint"
+
+
+def test_tile_store_writes_few_folders_for_many_cells(spark, tmp_path):
+    from wayfold.sources import roads
+
+    store = roads.TileStore(spark, f"file://{tmp_path}/tiles")
+    tiles = spark.range(300).select(F.lit(12).alias("z"), (F.col("id") * 64).alias("x"), F.col("id").alias("y"), F.lit(b"x").alias("payload_gzip"), F.lit(1).alias("way_count"), F.timestamp_seconds(F.lit(0)).alias("fetched_at"))
+    store.put(tiles)
+    assert 1 < len(list(tmp_path.glob("tiles/tiles/*/cell=*"))) <= roads.FOLDERS
+    assert store.get(tiles.select("z", "x", "y")).count() == 300

@@ -27,8 +27,8 @@ Transport = Callable[[dict, str, str, float], tuple[int, str]]
 WORKERS, TIMEOUT, TTL_DAYS = 2, 60.0, 30
 #: How often a box is cut in four when a server says that it lacks memory.
 CUTS = 3
-#: Tiles to a cell of the store's folders, by side.
-CELL = 64
+#: Tiles to a cell of the store, by side, and folders that cells are dealt to.
+CELL, FOLDERS = 64, 32
 OUTCOME = "outcome string, error string, http_status int, attempts int, server string, waited_s int, parts int, body string"
 _OUT = [c.split()[0] for c in OUTCOME.split(", ")]
 
@@ -223,7 +223,8 @@ class TileStore:
 
     @staticmethod
     def _cell() -> Column:
-        return F.col("z").cast("long") * (1 << 40) + F.floor(F.col("x") / CELL) * (1 << 20) + F.floor(F.col("y") / CELL)
+        """A tile's folder: the tiles of a cell share one, and a commit writes so many at most, however many cells there are."""
+        return F.pmod(F.xxhash64(F.col("z").cast("long"), F.floor(F.col("x") / CELL), F.floor(F.col("y") / CELL)), F.lit(FOLDERS)).cast("long")
 
     def put(self, tiles: DataFrame) -> None:
         """(z, x, y, payload_gzip, way_count, fetched_at) rows, over those that are there."""
@@ -241,7 +242,7 @@ class TileStore:
         """All tiles' latest rows in one folder; older rows stay in older versions."""
         at = self.tables.version()
         newest = F.row_number().over(W.partitionBy("z", "x", "y").orderBy(F.desc("fetched_at")))
-        rows = self.tables.read("tiles", at).withColumn("_k", newest).where("_k = 1").drop("_k")
+        rows = self.tables.read("tiles", at).withColumn("_k", newest).where("_k = 1").drop("_k").withColumn("cell", self._cell())
         self.tables.commit(replace={"tiles": rows}, expect=at, by={"tiles": "cell"})
 
     def read_through(self, wanted: DataFrame, transport: Transport, now: Column, cache_only: bool = False, on_error: str = "raise", workers: int = WORKERS, ttl_days: int = TTL_DAYS, **how) -> tuple[DataFrame, DataFrame]:
