@@ -125,3 +125,12 @@ def test_tile_store_writes_few_folders_for_many_cells(spark, tmp_path):
     store.put(tiles)
     assert 1 < len(list(tmp_path.glob("tiles/tiles/*/cell=*"))) <= roads.FOLDERS
     assert store.get(tiles.select("z", "x", "y")).count() == 300
+
+
+def test_runs_sort_once(spark):
+    rows = [(1, k, w, float(k)) for k, w in enumerate([None, 7, 7, 7, 8, None, None, 8, 9, 9, 7])]
+    found = matching.runs(spark.createDataFrame(rows, "trip_id long, seq long, way_id long, m double"))
+    got = {tuple(r) for r in found.select("way_id", "start_m", "end_m", "entry", "exit").collect()}
+    assert got == {(7, 1.0, 3.0, None, 8), (8, 4.0, 4.0, 7, None), (8, 7.0, 7.0, None, 9), (9, 8.0, 9.0, 8, 7), (7, 10.0, 10.0, 9, None)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "HashAggregate" not in plan
