@@ -134,3 +134,14 @@ def test_runs_sort_once(spark):
     assert got == {(7, 1.0, 3.0, None, 8), (8, 4.0, 4.0, 7, None), (8, 7.0, 7.0, None, 9), (9, 8.0, 9.0, 8, 7), (7, 10.0, 10.0, 9, None)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and "HashAggregate" not in plan
+
+
+def test_pieces_beside_a_border_are_not_cut(spark):
+    from wayfold.operators import regionindex
+
+    ring = [(0.02, 0.06, 0.08, 0.06), (0.08, 0.06, 0.08, 0.09), (0.08, 0.09, 0.02, 0.09), (0.02, 0.09, 0.02, 0.06)]
+    e = spark.createDataFrame([(1, 6, 1, *r) for r in ring], "region_id long, level int, ord long, xi double, yi double, xj double, yj double")
+    roads = [(1, 0, 0.07, 0.03, 0.07, 0.05), (2, 0, 0.07, 0.0, 0.07, 0.01), (3, 0, 0.01, 0.03, 0.02, 0.09), (4, 0, 0.05, 0.05, 0.07, 0.05)]
+    found = regionindex.clipped_metres(spark.createDataFrame(roads, "way_id long, i int, alat double, alon double, blat double, blon double"), regionindex.region_cells(e), lambda a, b, c, d: F.hypot(c - a, d - b))
+    assert {r.way_id: round(r.metres, 9) for r in found.collect()} == {1: 0.02, 4: 0.01}
+    assert "y1" in found._jdf.queryExecution().optimizedPlan().toString()

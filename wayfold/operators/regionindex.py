@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 
-#: Side of a cell in degrees.
-CELL = 0.1
+#: Side of a cell in degrees, and by how much a piece must miss a border for that to be sure in spite of rounding.
+CELL, MISS = 0.1, 1e-9
 
 
 def _cell(c: Column) -> Column:
@@ -106,8 +106,15 @@ def clipped_metres(edges: DataFrame, cells: DataFrame, metres=geo.ellipsoid) ->
     An edge is cut into the pieces of its cells; in a cell that is inside as a whole a piece counts whole, in a border cell it is cut where
     it crosses the cell's edges, and what has its middle inside counts. Only cells' own edges travel, never a polygon.
     """
-    met = pieces(edges).join(cells.select("cy", "cx", "region_id", "corner", "ring"), ["cy", "cx"])
+    low, high = lambda a, b: F.array_min(F.transform("ring", lambda e: F.least(e[a], e[b]))), lambda a, b: F.array_max(F.transform("ring", lambda e: F.greatest(e[a], e[b])))
+    bounds = (low("xi", "xj").alias("x0"), low("yi", "yj").alias("y0"), high("yi", "yj").alias("y1"))
+    met = pieces(edges).join(cells.select("cy", "cx", "region_id", "corner", "ring", *bounds), ["cy", "cx"])
     dx, dy = F.col("blon") - F.col("alon"), F.col("blat") - F.col("alat")
+    # what lies left of the cell's edges, or above or below them where none comes to the cell's left end, is inside or outside as its corner
+    ends = lambda f, a, d: f(F.col(a) + d * F.col("t0"), F.col(a) + d * F.col("t1"))
+    beside = (F.col("x0") > F.col("cx") * F.lit(CELL) + MISS) & ((ends(F.greatest, "alat", dy) < F.col("y0") - MISS) | (ends(F.least, "alat", dy) > F.col("y1") + MISS))
+    met = met.withColumn("known", (F.size("ring") == 0) | (ends(F.greatest, "alon", dx) < F.col("x0") - MISS) | beside).where("corner or not known")
+    met = met.withColumn("ring", F.when(F.col("known"), F.slice("ring", 1, 0)).otherwise(F.col("ring")))
 
     def crossing(e: Column) -> Column:
         wx, wy = e["xj"] - e["xi"], e["yj"] - e["yi"]
