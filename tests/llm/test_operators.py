@@ -607,3 +607,27 @@ def test_query_equals_its_sql(spark, name):
     r = c.execute(queries.oracle_sql()[name])
     order = sorted(range(len(r.description)), key=lambda i: r.description[i][0])
     assert got == sorted(tuple(round(float(row[i]), 3) for i in order) for row in r.fetchall())
+
+
+def test_pipeline_batches_are_bounded(spark):
+    """Stages that read whole texts in Python get them in batches of BATCH rows, and a smaller setting stays; a worker has one encoder."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old, docs = spark.conf.get(key), spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("some words of a text").alias("text"), F.lit("en").alias("lang"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    try:
+        for stage in (corpus_pipeline.language_id, corpus_pipeline.ngram_join, corpus_pipeline.packing):
+            spark.conf.set(key, "10000")
+            stage(spark, docs, "")
+            assert docs.coalesce(1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] == corpus_pipeline.BATCH
+        spark.conf.set(key, "500")
+        corpus_pipeline._batches(spark)
+        assert spark.conf.get(key) == "500"
+    finally:
+        spark.conf.set(key, old)
+    p = queries.byte_bpe()
+    one = packing._fast(p["ranks_path"], p["pattern"], tuple(p["specials"].items()))
+    assert one is packing._fast(p["ranks_path"], p["pattern"], tuple(p["specials"].items()))
