@@ -196,6 +196,35 @@ def test_line_dedup_pairs_in_crowded_buckets(spark):
     assert 290 <= len(got) <= 310
 
 
+def test_line_dedup_compares_every_line_of_a_crowded_bucket(spark, monkeypatch):
+    """Lines that are like neither end of any of their buckets take part as well; buckets are dealt by one exchange; sizes exclude no similar pair."""
+    r = random.Random(12)
+    slots = [[" ".join(f"{sentence(r, 1)}{r.randrange(10**6)}" for _ in range(3)) for _ in range(2)] for _ in range(40)]
+    lines = [" ".join(s[r.random() < 0.3] for s in slots) for _ in range(300)]
+    across, save, seen = line_dedup._across, Scratch.save, {}
+
+    def spied(members, roots, texts, *rest):
+        ids = members.select("id").distinct()
+        seen.update(members=ids.count(), left_out=ids.join(texts, "id", "left_anti").count())
+        return across(members, roots, texts, *rest)
+
+    def saved(self, df, name):
+        if name == "inner":
+            df.collect()
+            seen["plan"] = df._jdf.queryExecution().executedPlan().toString()
+        return save(self, df, name)
+
+    monkeypatch.setattr(line_dedup, "_across", spied)
+    monkeypatch.setattr(Scratch, "save", saved)
+    line_dedup.duplicate_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"))
+    assert seen["members"] > 200 and seen["left_out"] == 0
+    assert "ReusedExchange" in seen["plan"]
+    d = spark.createDataFrame(list(enumerate(["abcdefgh" * 9, "abc", "", *lines[:5]])), "id long, clean string")
+    for row in line_dedup._lows(d).join(d, "id").collect():
+        true = {row.clean[i : i + 7] for i in range(max(1, len(row.clean) - 6))}
+        assert row.fewest <= len(true) <= row.most == max(1, len(row.clean) - 6)
+
+
 def test_line_dedup_equals_brute_force_on_character_shingles(spark):
     """Lines of a few words with one edited character or another letter case; the brute force cuts its own shingles."""
     r = random.Random(11)
