@@ -225,6 +225,39 @@ def test_line_dedup_compares_every_line_of_a_crowded_bucket(spark, monkeypatch):
         assert row.fewest <= len(true) <= row.most == max(1, len(row.clean) - 6)
 
 
+def test_line_dedup_deals_crowded_buckets_in_turns(spark, monkeypatch):
+    """Buckets of several blocks give all similar pairs, in turns as at once; both sides of the comparison share an exchange; a long line's sketch is of fixed size."""
+    r = random.Random(13)
+    base = [[sentence(r, 1) + str(r.randrange(10**6)) for _ in range(k)] for k in (2, 8, 20, 60)]
+    lines = sorted({" ".join(w if r.random() < 0.97 else str(r.randrange(10**6)) for w in words) for words in base for _ in range(50)})
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, clean string").cache()
+    members = spark.range(40).select((F.col("id") * 16 + 11).alias("bucket")).crossJoin(texts.select("id")).where("bucket div 16 = id % 40 or bucket < 16")
+    minima = texts.select("id", *(F.col("id").alias(f"m{j}") for j in range(line_dedup.MINIMA)))
+    roots = spark.createDataFrame([], "id long, root long")
+    save, plans, columns = Scratch.save, [], {}
+
+    def saved(self, df, name):
+        if name == "across" and "repartition" in df._jdf.queryExecution().logical().toString().lower():
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        columns[name] = df.columns
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    links = lambda: {(x.a, x.b) for x in line_dedup._across(members, roots, texts, minima, 75, Scratch(spark)).collect()}
+    once = links()
+    assert len(plans) == 1 and "ReusedExchange" in plans[0]
+    monkeypatch.setattr(line_dedup, "TURN", 100)
+    monkeypatch.setattr(line_dedup, "SHARE", 10**6)
+    assert links() == once and len(plans) > 2
+    sets = [{t[i : i + 7] for i in range(max(1, len(t) - 6))} for t in lines]
+    alike = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if 100 * len(x & y) >= 75 * len(x | y)}
+    assert once == alike and len(alike) > 300
+    long = texts.where(F.length("clean") >= line_dedup.LOW)
+    assert long.count() > 50 and line_dedup._lows(long).where("low.whole is not null").isEmpty()
+
+
 def test_line_dedup_equals_brute_force_on_character_shingles(spark):
     """Lines of a few words with one edited character or another letter case; the brute force cuts its own shingles."""
     r = random.Random(11)
