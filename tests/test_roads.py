@@ -221,3 +221,16 @@ def test_confirm_is_one_visible_change(spark, tmp_path):
     s.commit(replace={"trips": s.read("trips").where("status = 'recording'")})
     publish.recompute(s)
     assert of() == {}
+
+
+def test_responses_hold_one_body_at_a_time(spark, tmp_path):
+    """A body has all elements of its key, none where they are null; tiles are gathered without lists or a broadcast of ways' tags in the JVM; texts leave Python in portions."""
+    from wayfold.plans import domain
+
+    rows = spark.range(4000).selectExpr("CASE WHEN id % 7 < 6 THEN id % 7 END AS k", "CASE WHEN id % 7 <> 3 THEN CAST(id AS STRING) END AS element")
+    got = {x.k: sorted(json.loads(x.body)["e"]) for x in osm.responses(rows, "k", '{"e":[', "]}").collect()}
+    assert got == {None if k == 6 else k: [] if k == 3 else list(range(k, 4000, 7)) for k in range(7)}
+    plan = domain._responses(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow bodies" in plan and "collect_list(struct(type" not in plan
+    assert "BroadcastHashJoin [way_id" not in plan
+    assert [(n, len(x)) for n, x in osm._portions(["x" * (osm.PORTION // 2)] * 5 + [None])] == [(0, 2), (2, 2), (4, 2)]
